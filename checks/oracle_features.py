@@ -90,7 +90,7 @@ def history_window(number: int, *, unused_end: str | None = None) -> str:
 
 def dataset_window(number: int) -> str:
     if number == 3:
-        return "SELECT * FROM test"
+        return "SELECT * EXCLUDE (bought_text, Date) FROM test"
     first, last = DATASETS[number]
     return f"SELECT * FROM train WHERE received_text BETWEEN '{first}' AND '{last}'"
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from voucherlens.columns import (
-    BOUGHT, COUPON, DISTANCE, MERCHANT, MERCHANT_FEATURES, PAIR_FEATURES, RECEIPT_FEATURES,
+    BOUGHT, COUPON, MERCHANT, MERCHANT_FEATURES, PAIR_FEATURES, RECEIPT_FEATURES,
     RECEIVED, USER, USER_COUPON_FEATURES, USER_FEATURES,
 )
 from voucherlens.functions.coupon import (
@@ -32,7 +32,9 @@ class FeatureOptions:
 
     The defaults give the main variant. :meth:`notebook` gives the earlier
     one: an exclusive label bound, the overlapping history window 1, one-hot
-    weekday and distance, and no day of month.
+    weekday and distance, and no day of month. Its weekday number has no
+    prefix, so it is no predictor; its copy of the distance under a second
+    name is left out, since column names do not differ by case alone.
     """
 
     label_inclusive: bool = True
@@ -43,7 +45,7 @@ class FeatureOptions:
     one_hot_distance: bool = False
     one_hot_distance_text_order: bool = False
     one_hot_month_day: bool = False
-    raw_weekday_and_distance: bool = False
+    plain_weekday: bool = False
     mean_discount: bool = False
     merchant_coupon_count: bool = False
     coupon_count: bool = False
@@ -58,7 +60,7 @@ class FeatureOptions:
             "weekday_number": False,
             "one_hot_weekday": True,
             "one_hot_distance": True,
-            "raw_weekday_and_distance": True,
+            "plain_weekday": True,
         }
         return cls(**{**settings, **changes})
 
@@ -72,11 +74,8 @@ class FeatureOptions:
             columns += weekday_one_hot()
         if self.one_hot_month_day:
             columns += month_day_one_hot()
-        if self.raw_weekday_and_distance:
-            columns += [
-                F.coalesce(F.col(DISTANCE), F.lit(0)).alias("distance"),
-                F.coalesce(weekday(F.col(RECEIVED)), F.lit(0)).alias("weekday"),
-            ]
+        if self.plain_weekday:
+            columns.append(F.coalesce(weekday(F.col(RECEIVED)), F.lit(0)).alias("weekday"))
         return columns
 
 
