@@ -390,7 +390,7 @@ def _training_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
 
 @query("logistic_grid")
 def logistic_grid(spark: SparkSession, sf: str) -> DataFrame:
-    fitted = models.logistic_grid(*_training_tables(spark, sf))
+    fitted = models.logistic_grid(*_training_tables(spark, sf), max_iter=25)
     return spark.createDataFrame(fitted.trials, "alpha double, l1_ratio double, auc double")
 
 

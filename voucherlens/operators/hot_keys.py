@@ -72,7 +72,8 @@ def find_hot_keys(
             for name in key_sets
         ],
     )
-    found = lanes.agg(
+    # Grouped by a constant, so that an empty table gives no row at all.
+    found = lanes.groupBy(F.lit("all")).agg(
         F.sum("rows").alias("rows"),
         *[
             F.expr(
@@ -81,7 +82,9 @@ def find_hot_keys(
             for name in key_sets
         ],
     ).first()
-    limit = rule.limit(found["rows"] or 0)
+    if found is None:
+        return {name: HotKeys(tuple(keys)) for name, keys in key_sets.items()}
+    limit = rule.limit(found["rows"])
     hot = {}
     for name, keys in key_sets.items():
         by_slices: dict[int, list[int]] = {}

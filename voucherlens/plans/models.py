@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -23,6 +24,7 @@ from voucherlens.operators.summary import accuracy
 
 IS_VALID = "is_valid"
 SCALED = "z_"
+PARALLEL_FITS = 4
 
 
 @dataclass
@@ -74,6 +76,15 @@ def _grid_auc(trials: list, valid: DataFrame) -> list[float]:
     return [found.get(i, float("nan")) for i in range(len(trials))]
 
 
+def _fit_all(estimator, table: DataFrame, grid: list[dict]) -> list:
+    """One model per setting; their jobs run side by side on the cluster."""
+    fits = estimator.fitMultiple(table, grid)
+    fit_next = inheritable_thread_target(table.sparkSession)(lambda _: next(fits))
+    with ThreadPool(min(len(grid), PARALLEL_FITS)) as pool:
+        found = dict(pool.imap_unordered(fit_next, grid))
+    return [found[i] for i in range(len(grid))]
+
+
 def logistic_grid(
     train: DataFrame,
     valid: DataFrame,
@@ -112,7 +123,7 @@ def logistic_grid(
             .addGrid(estimator.elasticNetParam, l1_ratios)
             .build()
         )
-        models = estimator.fit(ready.where(~F.col(IS_VALID)), grid)
+        models = _fit_all(estimator, ready.where(~F.col(IS_VALID)), grid)
         aucs = _grid_auc(models, ready.where(IS_VALID))
     finally:
         ready.unpersist()
@@ -197,7 +208,8 @@ def fit_watched_trees(
     ready = _labels_for(PipelineModel(stages).transform(both)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         estimator = boosted_trees("watched", rounds=rounds)
-        estimator.setValidationIndicatorCol(IS_VALID).setValidationTol(tolerance)
+        estimator.setValidationIndicatorCol(IS_VALID)
+        estimator.set(estimator.validationTol, tolerance)
         model = estimator.fit(ready)
         value = _grid_auc([model], ready.where(IS_VALID))[0]
     finally:
