@@ -4,7 +4,8 @@ Both avoid sorting a whole group in one task. A score is cut into digits of
 ``DIGIT_BITS`` binary places; scaling by a power of two and taking the floor
 are exact for doubles, so the digits keep the order and equal scores share all
 of them. Sums over digits are then compared only among at most
-``2 ** DIGIT_BITS`` siblings of one node.
+``2 ** DIGIT_BITS`` siblings of one node, and values that agree in both digits
+lie within ``2 ** -40`` of each other.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voucherlens.columns import COUPON, LABEL
+from voucherlens.session import written
 
-DIGIT_BITS = 16
+DIGIT_BITS = 20
 DIGITS = ["digit_1", "digit_2"]
 
 
@@ -87,15 +89,23 @@ def pooled_auc(scored: DataFrame, *, score: str = "score", label: str = LABEL) -
     return auc(scored, [], score=score, label=label)
 
 
-def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+def quantiles(
+    df: DataFrame,
+    column: str,
+    shares: list[float],
+    *,
+    bounds: tuple[float, float, int] | None = None,
+) -> DataFrame:
     """Exact, linearly interpolated quantiles of one column over all rows.
 
     Descends from the first digit to the value: at each step the node that
     holds the wanted rank is kept, so the broadcast side has at most two rows
-    per quantile.
+    per quantile. The distinct values with their counts are written once and
+    read by all three steps. ``bounds`` are minimum, maximum and count, where
+    they are known already.
     """
     value = F.col(column).cast("double")
-    low, high, rows = df.agg(F.min(value), F.max(value), F.count(value)).first()
+    low, high, rows = bounds or df.agg(F.min(value), F.max(value), F.count(value)).first()
     if not rows:
         raise ValueError(f"column {column} holds no values")
     ranks = sorted({r for q in shares for r in _ranks(q, rows)})
@@ -104,7 +114,7 @@ def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
     counts = df.where(value.isNotNull()).groupBy(value.alias("value")).agg(
         F.count("*").alias("n")
     )
-    nodes = _with_digits(counts, unit)
+    nodes = _with_digits(written(counts, "value-counts"), unit)
     spark = df.sparkSession
     wanted = spark.createDataFrame([(r,) for r in ranks], "rank bigint").withColumn(
         "before", F.lit(0).cast("bigint")

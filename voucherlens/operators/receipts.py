@@ -124,9 +124,11 @@ def receipt_features(
     """The ``t_`` features, one row per (user, coupon, day) of ``receipts``."""
     keys = receipts.select(*RECEIPT_KEY)
     hot = find_hot_keys(keys, {"user": [USER]}, rule)["user"]
+    ordinary = keys.where(~hot.contains()) if hot else keys
+    # The exchange on the user serves the daily counts and all windows.
+    ordinary = ordinary_receipts(daily_receipts(ordinary.repartition(USER)))
     if not hot:
-        return ordinary_receipts(daily_receipts(keys))
-    ordinary = ordinary_receipts(daily_receipts(keys.where(~hot.contains())))
+        return ordinary
     return ordinary.unionByName(hot_user_receipts(keys.where(hot.contains())))
 
 
