@@ -39,13 +39,13 @@ HISTORY_2 = f"WITH {LOG}, f AS ({O.history_window(2)}), {O.history_ctes('f')}"
 
 def _one_hot(value: str, pairs: list[tuple[str, int]]) -> str:
     return ", ".join(
-        f"CASE WHEN {value} = {k} THEN 1 ELSE 0 END AS {name}" for name, k in pairs
+        f"CASE WHEN {value} = {k} THEN 1 ELSE CAST(0 AS BIGINT) END AS {name}" for name, k in pairs
     )
 
 
 def _histogram_rows(sides: list[tuple[str, str]]) -> str:
     return " UNION ALL ".join(
-        f"SELECT '{name}' AS name, COUNT(*) AS n_rows, {7 if name != 'dataset3' else 6} AS n_columns"
+        f"SELECT '{name}' AS name, COUNT(*) AS n_rows, CAST({7 if name != 'dataset3' else 6} AS BIGINT) AS n_columns"
         f" FROM ({sql})"
         for name, sql in sides
     )
@@ -78,7 +78,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "label_binary": (
             f"WITH {LOG} SELECT User_id, greatest({O.label()}, 0) AS label,"
-            " CASE WHEN received_text = 'null' THEN 0 ELSE 1 END AS has_receipt FROM train"
+            " CASE WHEN received_text = 'null' THEN 0 ELSE CAST(1 AS BIGINT) END AS has_receipt FROM train"
         ),
         "one_hot": (
             f"WITH {LOG} SELECT User_id, distance_text AS Distance, received_text AS Date_received,"
@@ -151,7 +151,7 @@ def oracle_sql() -> dict[str, str]:
             f"WITH {LOG}, d AS ({O.dataset_window(2)}) SELECT coupon_text AS Coupon_id,"
             " COUNT(*) AS c_coupon_count FROM d GROUP BY ALL"
         ),
-        "dataset1_features_notebook": _notebook_dataset(),
+        "dataset1_features_earlier": _earlier_dataset(),
         "dataset2_features_optional": _optional_dataset(),
         "predictors_without_day_gaps": (
             f"WITH {LOG}, {O.assembled_ctes(2)},"
@@ -268,7 +268,7 @@ def _user_coupon(source: str) -> str:
     )
 
 
-def _notebook_dataset() -> str:
+def _earlier_dataset() -> str:
     coupon = O.coupon_list(
         ["c_discount_rate", "c_is_manjian", "c_man", "c_jian", "c_distance", "c_weektype"]
     )
@@ -311,7 +311,7 @@ def _union_report() -> str:
     for number, valid in ((1, 0), (2, 1)):
         key = "User_id, coupon_text"
         parts.append(
-            f" SELECT {valid} AS is_valid, greatest({O.label()}, 0) AS label, n"
+            f" SELECT CAST({valid} AS BIGINT) AS is_valid, greatest({O.label()}, 0) AS label, n"
             f" FROM (SELECT DISTINCT * FROM ({O.dataset_window(number)}))"
             f" JOIN (SELECT {key}, COUNT(*) AS n FROM ({O.dataset_window(number)}) GROUP BY ALL)"
             f" USING ({key})"

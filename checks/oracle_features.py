@@ -52,7 +52,7 @@ HISTORIES = {
 def label(bound: str = "<= 15") -> str:
     return (
         "CASE WHEN received_text = 'null' THEN -1"
-        f" WHEN bought_text <> 'null' AND Date - Date_received {bound} THEN 1 ELSE 0 END"
+        f" WHEN bought_text <> 'null' AND Date - Date_received {bound} THEN 1 ELSE CAST(0 AS BIGINT) END"
     )
 
 
@@ -70,7 +70,7 @@ COUPON = {
     "c_jian": "CASE WHEN rate_text LIKE '%:%' THEN CAST(split_part(rate_text, ':', 2) AS BIGINT) ELSE 0 END",
     "c_distance": "CAST(CASE WHEN distance_text = 'null' THEN '0' ELSE distance_text END AS BIGINT)",
     "c_weekday": "COALESCE(CAST(isodow(Date_received) AS BIGINT), 0)",
-    "c_weektype": "CASE WHEN isodow(Date_received) >= 6 THEN 1 ELSE 0 END",
+    "c_weektype": "CASE WHEN isodow(Date_received) >= 6 THEN 1 ELSE CAST(0 AS BIGINT) END",
     "c_monthday": "COALESCE(CAST(substr(NULLIF(received_text, 'null'), 7, 2) AS BIGINT), 0)",
 }
 
@@ -178,10 +178,10 @@ def receipt_cte(source: str) -> str:
   SELECT r.User_id, r.coupon_text, r.received_text,
     t1.n AS t_total_coupon_count,
     t2.n AS t_same_coupon_count,
-    CASE WHEN t2.n > 1 THEN 1 ELSE 0 END AS t_same_coupon_morethan1,
-    CASE WHEN t2.n = 1 THEN -1 WHEN r.received_text = t2.last THEN 1 ELSE 0 END
+    CASE WHEN t2.n > 1 THEN 1 ELSE CAST(0 AS BIGINT) END AS t_same_coupon_morethan1,
+    CASE WHEN t2.n = 1 THEN -1 WHEN r.received_text = t2.last THEN 1 ELSE CAST(0 AS BIGINT) END
       AS t_user_receive_same_coupon_lastone,
-    CASE WHEN t2.n = 1 THEN -1 WHEN r.received_text = t2.first THEN 1 ELSE 0 END
+    CASE WHEN t2.n = 1 THEN -1 WHEN r.received_text = t2.first THEN 1 ELSE CAST(0 AS BIGINT) END
       AS t_user_receive_same_coupon_firstone,
     t5.n AS t_day_received_all_coupon_num,
     t6.n AS t_day_received_same_coupon_num,

@@ -237,9 +237,9 @@ def coupon_count(spark: SparkSession, sf: str) -> DataFrame:
 # --- assembled variants ------------------------------------------------------
 
 
-@query("dataset1_features_notebook")
-def dataset1_features_notebook(spark: SparkSession, sf: str) -> DataFrame:
-    return comparable(_dataset(spark, sf, 1, FeatureOptions.notebook()))
+@query("dataset1_features_earlier")
+def dataset1_features_earlier(spark: SparkSession, sf: str) -> DataFrame:
+    return comparable(_dataset(spark, sf, 1, FeatureOptions.earlier()))
 
 
 @query("dataset2_features_optional")

@@ -40,7 +40,7 @@ def test_whole_way(spark, small, tmp_path):
         assert lines.where("CAST(_c3 AS DOUBLE) BETWEEN 0 AND 1").count() == third.count()
 
 
-def test_notebook_options():
-    options = FeatureOptions.notebook()
+def test_earlier_options():
+    options = FeatureOptions.earlier()
     assert not options.label_inclusive and options.history_overlap
-    assert FeatureOptions.notebook(user_coupon=True).user_coupon
+    assert FeatureOptions.earlier(user_coupon=True).user_coupon

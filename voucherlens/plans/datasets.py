@@ -30,7 +30,7 @@ from voucherlens.session import written
 class FeatureOptions:
     """Which variant of the table to build.
 
-    The defaults give the main variant. :meth:`notebook` gives the earlier
+    The defaults give the main variant. :meth:`earlier` gives the earlier
     one: an exclusive label bound, the overlapping history window 1, one-hot
     weekday and distance, and no day of month. Its weekday number has no
     prefix, so it is no predictor; its copy of the distance under a second
@@ -52,7 +52,7 @@ class FeatureOptions:
     user_coupon: bool = False
 
     @classmethod
-    def notebook(cls, **changes: bool) -> FeatureOptions:
+    def earlier(cls, **changes: bool) -> FeatureOptions:
         settings = {
             "label_inclusive": False,
             "history_overlap": True,

@@ -36,8 +36,15 @@ class Fitted:
     trials: list[dict[str, float]]
 
 
-def split_table(train: DataFrame, valid: DataFrame) -> DataFrame:
-    """Both tables as one, with the fixed split as a column and a 0/1 label."""
+def split_table(
+    train: DataFrame, valid: DataFrame, *, drop_unreceived: bool = False
+) -> DataFrame:
+    """Both tables as one, with the fixed split as a column and a 0/1 label.
+
+    Rows without a receipt count as 0, or are left out with ``drop_unreceived``.
+    """
+    if drop_unreceived:
+        train, valid = (t.where(F.col(LABEL) != -1) for t in (train, valid))
     both = train.withColumn(IS_VALID, F.lit(False)).unionByName(
         valid.withColumn(IS_VALID, F.lit(True))
     )
@@ -162,7 +169,7 @@ def boosted_trees(kind: str = "tuned", *, rounds: int | None = None) -> GBTClass
         ),
         "watched": dict(
             maxDepth=5, stepSize=0.01, subsamplingRate=0.7, featureSubsetStrategy="0.7",
-            minInstancesPerNode=1, minInfoGain=0.0,
+            minInstancesPerNode=1,
         ),
     }
     return GBTClassifier(
