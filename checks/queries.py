@@ -154,7 +154,9 @@ def feature_window_1_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf: str, **options: bool) -> DataFrame:
-    return hist.pair_history(history_window(train_log(spark, sf), 2), **options)
+    """The pair table of window 2, written once for its two readers."""
+    history = history_window(train_log(spark, sf), 2)
+    return written(hist.pair_history(history, **options), "pair-history")
 
 
 @query("user_features")
@@ -169,7 +171,8 @@ def merchant_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("user_merchant_features")
 def user_merchant_features(spark: SparkSession, sf: str) -> DataFrame:
-    return comparable(hist.pair_features(_pairs(spark, sf)))
+    history = history_window(train_log(spark, sf), 2)
+    return comparable(hist.pair_features(hist.pair_history(history)))
 
 
 @query("user_coupon_features")

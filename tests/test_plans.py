@@ -45,9 +45,10 @@ def test_receipt_windows_share_exchange_and_sorts(log):
     plan = plan_of(assemble(log, dataset_window(log, 2)))
     assert plan.count("Window [") == 3
     users = [e for e in exchanges(plan) if re.fullmatch(r"hashpartitioning\(User_id#\d+L?, \d+\)", e)]
-    # One for the scored rows, one for the user features; the join adds none.
-    assert len(users) == 2
-    assert len(exchanges(plan)) == 6
+    # One for the scored rows, one each for user counts and user distances; the
+    # joins between them add none.
+    assert len(users) == 3
+    assert len(exchanges(plan)) == 8
 
 
 def test_no_nested_loops_and_no_python(spark, log):

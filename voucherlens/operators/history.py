@@ -2,9 +2,9 @@
 
 One grouping-sets pass over the history window yields, per user and merchant,
 a row of counts ("pair row") and one row per redeemed distance ("distance
-row"). Pair features are a projection of it; user and merchant features are
-one further aggregate each. All counts combine before the shuffle, so a key
-that holds a third of the log costs no more than any other.
+row"). Pair features are a projection of it; user and merchant features are a
+small aggregate of each row kind. All counts combine before the shuffle, so a
+key that holds a third of the log costs no more than any other.
 """
 
 from __future__ import annotations
@@ -90,30 +90,31 @@ def pair_features(pairs: DataFrame) -> DataFrame:
 
 
 def _side_features(pairs: DataFrame, key: str, prefix: str, *, mean_discount: bool) -> DataFrame:
-    """Features of one side of the pair: counts, distances and waiting days."""
-    is_pair = F.col("is_pair")
-    redeemed = F.col("n_redeemed")
+    """Features of one side of the pair: counts, waiting days and distances.
 
-    def total(name: str) -> Column:
-        return F.sum(F.when(is_pair, F.col(name)))
-
-    known = F.sum(F.when(~is_pair, redeemed))
-    weighted = F.sum(F.when(~is_pair, F.col("distance") * redeemed))
-    sums = pairs.groupBy(key).agg(
-        total("n_bought").alias("buys"),
-        total("n_redeemed").alias("redeemed"),
-        total("n_received").alias("received"),
-        _count_if(is_pair & (F.col("n_bought") > 0)).alias("bought_pairs"),
-        known.alias("distances"),
-        weighted.alias("distance_sum"),
+    Counts and distances come from the two row kinds in two aggregates, which
+    are joined on the partitioning they already have. Only the second, over
+    the few redeemed rows, carries the buffers of the exact median.
+    """
+    counts = pairs.where("is_pair").groupBy(key).agg(
+        F.sum("n_bought").alias("buys"),
+        F.sum("n_redeemed").alias("redeemed"),
+        F.sum("n_received").alias("received"),
+        _count_if(F.col("n_bought") > 0).alias("bought_pairs"),
+        F.sum("gap_sum").alias("gap_sum"),
+        F.min("gap_min").alias("gap_min"),
+        F.max("gap_max").alias("gap_max"),
+        *([F.sum("rate_sum").alias("rate_sum")] if mean_discount else []),
+    )
+    redeemed = F.col("n_redeemed")
+    distances = pairs.where("NOT is_pair").groupBy(key).agg(
+        F.sum(redeemed).alias("distances"),
+        F.sum(F.col("distance") * redeemed).alias("distance_sum"),
         F.max("distance").alias("distance_max"),
         F.min("distance").alias("distance_min"),
         F.percentile("distance", F.lit(0.5), redeemed).alias("distance_median"),
-        total("gap_sum").alias("gap_sum"),
-        F.min(F.when(is_pair, F.col("gap_min"))).alias("gap_min"),
-        F.max(F.when(is_pair, F.col("gap_max"))).alias("gap_max"),
-        *([total("rate_sum").alias("rate_sum")] if mean_discount else []),
     )
+    sums = counts.join(distances, key, "left")
 
     def number(name: str) -> Column:
         return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
