@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,6 +24,7 @@ RECOMMENDED = {
 }
 
 _local_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
@@ -34,13 +36,14 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
-    Only a local session without the setting gets a temporary folder, which is
+    Only a session whose executor is the driver itself (``local`` or
+    ``local[n]``) gets a temporary folder when the setting is missing; it is
     removed when the process ends.
     """
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
@@ -49,14 +52,40 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's own intermediate tables."""
+    return f"{shared_dir(spark)}/voucherlens-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used for a table that several later joins or aggregates read: it is
     computed once, survives the loss of any executor, is read with pruned
-    columns, and its size on disk is known to the optimizer.
+    columns, and its size on disk is known to the optimizer. It stays until
+    :func:`release`, since results that read it are lazy.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables that :func:`written` made in this application.
+
+    Call it when the results that read them have been stored.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    if not paths:
+        return
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = hadoop.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    # The run folder goes too, unless something else lies in it.
+    top = hadoop.Path(run_dir(spark))
+    system = top.getFileSystem(conf)
+    if system.exists(top) and not list(system.listStatus(top)):
+        system.delete(top, False)
