@@ -2,6 +2,111 @@
 
 from __future__ import annotations
 
+from voucherlens.llm.licenses import NOT_WORD, RULES, SENTENCE_END, SENTENCES, normalised_text, rule_pattern
+from voucherlens.llm.queries import URL_RULES
+from voucherlens.llm.url_reputation import PUBLIC_SECOND_LEVEL
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _strength(members: str, by: str) -> str:
+    """The spread of shares within groups, written as in the empirical-Bayes model."""
+    return f"""
+        SELECT *, 1 / greatest(least(coalesce(CASE WHEN scale > 0 AND m * (1 - m) > 0 THEN
+            (squares - group_n * m * m - (members - 1) * m * (1 - m)) / ((scale - (members - 1)) * m * (1 - m)) END, 0), 0.5), 1 / 1001.0) - 1 AS strength
+        FROM (SELECT {by}, sum(good) AS group_good, sum(n) AS group_n, sum(good) / sum(n) AS m,
+              sum(n * (good / n) * (good / n)) AS squares, count(*) AS members,
+              sum(n) - sum(n * n) / sum(n) AS scale FROM {members} GROUP BY {by})"""
+
+
+def _url_sql() -> str:
+    second = "|".join(PUBLIC_SECOND_LEVEL)
+    rules = sorted(URL_RULES, key=lambda r: -len(r.target))
+    fits = " ".join(
+        f"WHEN (host = {_text(r.host)} OR ends_with(host, {_text('.' + r.host)})) "
+        f"AND starts_with(path, {_text(r.path)}) THEN {_text(r.target)}"
+        for r in rules
+    )
+    verdicts = " ".join(f"WHEN {_text(r.target)} THEN {_text(r.verdict)}" for r in rules)
+    return f"""
+    WITH cut AS (
+        SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0
+               THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    parsed AS (
+        SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_AZ}) AS host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+    ruled AS (SELECT *, CASE {fits} END AS rule FROM parsed),
+    hosts AS (
+        SELECT host, sum(CASE WHEN (CASE rule {verdicts} END) = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS good,
+               count(*)::DOUBLE AS n FROM ruled WHERE rule IS NOT NULL GROUP BY host),
+    labels_of AS (
+        SELECT *, coalesce(nullif(regexp_extract(host, '([^.]+[.](?:(?:{second})[.][a-z][a-z]|[^.]+))$', 1), ''), host) AS domain,
+               CASE WHEN regexp_matches(host, '[.](?:{second})[.][a-z][a-z]$')
+               THEN regexp_extract(host, '[.]((?:{second})[.][a-z][a-z])$', 1)
+               ELSE regexp_extract(host, '([^.]*)$', 1) END AS suffix FROM hosts),
+    d AS ({_strength("labels_of", "domain, suffix")}),
+    dm AS (SELECT domain, suffix, group_good AS good, group_n AS n FROM d),
+    s AS ({_strength("dm", "suffix")}),
+    sm AS (SELECT 0 AS root, group_good AS good, group_n AS n FROM s),
+    r AS ({_strength("sm", "root")}),
+    s2 AS (SELECT suffix, s.strength, (s.group_good + r.strength * (r.group_good + 1) / (r.group_n + 2)) / (s.group_n + r.strength) AS mean FROM s, r),
+    d2 AS (SELECT d.domain, d.strength, (d.group_good + s2.strength * s2.mean) / (d.group_n + s2.strength) AS mean FROM d JOIN s2 USING (suffix)),
+    ab AS (SELECT host, good + d2.strength * d2.mean AS a, n - good + d2.strength * (1 - d2.mean) AS b FROM labels_of JOIN d2 USING (domain)),
+    h AS (SELECT host, least(a / (a + b) + 2 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 1.0) AS upper FROM ab)
+    SELECT page_id, host, path, rule,
+           coalesce(CASE rule {verdicts} END, CASE WHEN coalesce(upper, 1) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+    FROM ruled LEFT JOIN h USING (host)"""
+
+
+def _licence_sql() -> str:
+    known = ", ".join(f"({_text(normalised_text(s))}, {_text(name)})" for name, s in SENTENCES.items())
+    rules = " UNION ALL ".join(
+        f"SELECT doc_id, {_text(r.licence)} AS licence FROM joined WHERE regexp_matches(seq, {_text(rule_pattern(r, 2))})"
+        for r in RULES
+    )
+    return f"""
+    WITH known(norm, name) AS (VALUES {known}),
+    s AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS sentence
+          FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), {_text(SENTENCE_END)}) AS p FROM documents)),
+    n AS (SELECT doc_id, i, trim(regexp_replace(translate(sentence, {_AZ}), {_text(NOT_WORD)}, ' ', 'g'), ' .-') AS norm FROM s),
+    found AS (SELECT doc_id, i, coalesce(name, '') AS name FROM n LEFT JOIN known USING (norm)),
+    joined AS (SELECT doc_id, string_agg(name, ';' ORDER BY i) || ';' AS seq,
+               count(*) FILTER (WHERE name <> '') AS n_sentences,
+               coalesce(string_agg(name, ',' ORDER BY i) FILTER (WHERE name <> ''), '') AS sentences
+               FROM found GROUP BY doc_id),
+    hits AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM ({rules}) GROUP BY doc_id)
+    SELECT doc_id, n_sentences, sentences, coalesce(licences, '') AS licences FROM joined LEFT JOIN hits USING (doc_id)"""
+
+
+def _decontamination_sql() -> str:
+    """Windows as joined words; a document word is hit within 13 words of a window's start."""
+    item = lambda table, key: f"""
+        SELECT {key}, list_filter(string_split(regexp_replace(translate(coalesce(text, ''), {_AZ}),
+            '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM {table}"""
+    return f"""
+    WITH b AS ({item("benchmark", "item_id")}),
+    wins AS (SELECT DISTINCT item_id, size, list_slice(w, i, i + size - 1) AS win FROM (
+        SELECT item_id, w, least(13, len(w)) AS size, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i
+        FROM b WHERE len(w) > 0)),
+    d AS ({item("documents", "doc_id")}),
+    sizes AS (SELECT DISTINCT size FROM wins),
+    dw AS (SELECT doc_id, i, size, list_slice(w, i, i + size - 1) AS win FROM (
+        SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)),
+    m AS (SELECT doc_id, i, size, item_id FROM dw JOIN wins USING (size, win)),
+    hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS p FROM m) GROUP BY doc_id),
+    it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM m GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_url_reputation": _url_sql(),
+        "op8_license_scan": _licence_sql(),
+        "op10_benchmark_decontamination": _decontamination_sql(),
+    }

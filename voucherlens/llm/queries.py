@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voucherlens.llm import decontamination, packing
+from voucherlens.llm import decontamination, licenses, packing, url_reputation
+from voucherlens.llm.url_reputation import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKENIZERS = "/opt/tokenizers"
@@ -45,11 +46,35 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+# Fixed values of the URL contract.
+URL_RULES = [
+    Rule("org/", "allow"),
+    Rule("example.org/es/", "block"),
+    Rule("example.org/en/1", "block"),
+    Rule("com/fr/", "allow"),
+    Rule("com/de/", "block"),
+]
+
+
+@query("op3_url_reputation")
+def op3_url_reputation(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that rules decide are the labelled outcomes of their hosts."""
+    pages = read(spark, sf, "pages")
+    outcomes = url_reputation.rule_outcomes(pages, URL_RULES)
+    judged = url_reputation.judge(pages, outcomes, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(read(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@query("op8_license_scan")
+def op8_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.digest(licenses.scan(read(spark, sf, "documents")))
+
+
 @query("op10_benchmark_decontamination")
 def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontamination.decontaminate(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
