@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voucherlens.llm import decontamination, licenses, packing, url_reputation
+from voucherlens.llm import decontamination, fingerprints, licenses, packing, url_reputation
 from voucherlens.llm.url_reputation import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@query("op1_document_fingerprints")
+def op1_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.fingerprint(read(spark, sf, "documents"))
+
+
 # Fixed values of the URL contract.
 URL_RULES = [
     Rule("org/", "allow"),
