@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voucherlens.llm import decontamination, fingerprints, licenses, packing, url_reputation
+from voucherlens.llm import decontamination, fingerprints, licenses, packing, quality, url_reputation
 from voucherlens.llm.url_reputation import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,16 @@ def op8_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.digest(licenses.scan(read(spark, sf, "documents")))
 
 
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    documents, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    model = quality.fit(documents, labels.where(~quality.held_out(F.col("doc_id"))))
+    return quality.score(documents, model).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query("op10_benchmark_decontamination")
 def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontamination.decontaminate(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
