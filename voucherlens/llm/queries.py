@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voucherlens.llm import decontamination, fingerprints, licenses, packing, quality, url_reputation
+from voucherlens.llm import decontamination, fingerprints, jaccard, licenses, packing, quality, url_reputation
 from voucherlens.llm.url_reputation import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,11 @@ def op1_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.fingerprint(read(spark, sf, "documents"))
 
 
+@query("op2_ngram_jaccard_join")
+def op2_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf, "documents"))
+
+
 # Fixed values of the URL contract.
 URL_RULES = [
     Rule("org/", "allow"),
