@@ -12,8 +12,8 @@
    of all pieces is ranked by many tasks, and look their sequence up by it.
 
 Texts are split at ASCII white space before they are encoded, since the
-tokenizer's normalizer and pre-tokenizer never look across it; a bounded cache
-holds the ids of words.
+tokenizer's normalizer and pre-tokenizer never look across it; bounded caches
+hold the ids of words.
 
 NULL and empty texts are one piece with the end id alone. Repeated documents
 and ids are packed as often as they occur. An empty table gives an empty
@@ -24,20 +24,23 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from voucherlens.llm.text import slices, table
+from voucherlens.llm.text import SPACE, slices, table, word_hashes, words as find_words
 from voucherlens.session import written
 
 CAPACITY = 4096
 END_ID = 2
-#: Words whose ids a Python worker remembers, and the longest such word in bytes.
-CACHE_WORDS = 1 << 19
+#: Words and stems whose ids a Python worker remembers, and the longest in bytes.
+CACHED_WORDS, CACHED_STEMS = 600_000, 800_000
 CACHED_BYTES = 48
+#: ASCII characters that are neither letter, digit nor white space. Fixed values.
+END_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
@@ -46,41 +49,85 @@ _PIECES = pa.schema([
 _PACKED = pa.schema([*_PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-class WordEncoder:
-    """Token ids of texts as little-endian bytes, by a tokenizer that drops white space."""
+class Encoder:
+    """Token ids of texts, by a tokenizer that drops white space and folds case.
+
+    The distinct words of a slice are looked up by a hash that ignores the case
+    of A-Z; a word not seen yet is its stem and the mark at its end.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[bytes, bytes] = {}
-
-    def _encode(self, found: list[bytes]) -> list[bytes]:
-        texts = [w.decode() for w in found]
-        encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]
-        wanted = set().union(*split)
-        new = [w for w in wanted if w not in self._known]
-        if len(self._known) + len(new) > CACHE_WORDS:
-            self._known.clear()
-            new = list(wanted)
-        ids = dict(zip(new, self._encode(new), strict=True))
-        self._known.update((w, i) for w, i in ids.items() if len(w) <= CACHED_BYTES)
-        ids = self._known if all(len(w) <= CACHED_BYTES for w in new) else self._known | ids
-        for found in split:
-            yield b"".join(map(ids.__getitem__, found))
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
+        self._words: dict[int, bytes] = {}
+        self._stems: dict[bytes, bytes] = {}
+
+    def _encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        strings = [t.decode() for t in texts]
+        for encoded in self._tokenizer.encode_batch_fast(strings, add_special_tokens=False):
+            yield array("I", encoded.ids).tobytes()
+
+    def _learn(self, hashes: list[int], words: list[bytes]) -> dict[int, bytes]:
+        parts = [_stem(w) for w in words]
+        wanted = {p for pair in parts for p in pair}
+        if len(self._stems) + len(wanted) > CACHED_STEMS:
+            self._stems.clear()
+        unknown = [w for w in wanted if w not in self._stems]
+        ids = dict(zip(unknown, self._encode(unknown), strict=True))
+        self._stems.update((w, i) for w, i in ids.items() if len(w) <= CACHED_BYTES)
+        known = lambda w: self._stems.get(w) or ids.get(w, b"")
+        return {h: known(a) + known(b) if b else known(a) for h, (a, b) in zip(hashes, parts, strict=True)}
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> Iterator[bytes]:
+        """Ids of every text of a slice, as unsigned 32-bit numbers."""
+        start, end, before = find_words(data, at, SPACE)
+        distinct, first, place = np.unique(
+            word_hashes(data, start, end), return_index=True, return_inverse=True
+        )
+        raw, keys = data.tobytes(), distinct.tolist()
+        if len(self._words) + len(keys) > CACHED_WORDS:
+            self._words.clear()
+        new = [(k, raw[start[i] : end[i]]) for k, i in zip(keys, first.tolist()) if k not in self._words]
+        learned = self._learn(*map(list, zip(*new))) if new else {}
+        self._words.update((k, learned[k]) for k, w in new if len(w) <= CACHED_BYTES)
+        found = [learned[k] if k in learned else self._words[k] for k in keys]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        # Each word's ids, one after the other.
+        size, begin = sizes[place], (np.cumsum(sizes) - sizes)[place]
+        past = np.r_[0, np.cumsum(size)]
+        ids = flat[np.repeat(begin - past[:-1], size) + np.arange(past[-1])]
+        special = b"<|" in raw
+        for a, b, i, j in zip(at[:-1].tolist(), at[1:].tolist(), past[before[:-1]].tolist(), past[before[1:]].tolist()):
+            # The tokenizer takes its special strings as they are written.
+            if special and b"<|" in raw[a:b]:
+                yield next(self._encode([raw[a:b]]))
+            else:
+                yield ids[i:j].tobytes()
+
+
+def _stem(word: bytes) -> tuple[bytes, bytes]:
+    """A word in lower case without the marks at its end, and these marks.
+
+    ASCII marks up to the end are one token run if a letter stands before them.
+    """
+    lower = word.lower()
+    stem = lower.rstrip(END_MARKS)
+    if len(stem) < len(lower) and stem:
+        latin = len(stem) > 1 and stem[-2] == 0xC3 and stem[-1] >= 0x9F and stem[-1] != 0xB7
+        if 0x61 <= stem[-1] <= 0x7A or latin:
+            return stem, lower[len(stem) :]
+    return lower, b""
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     """One encoder for each Python worker, so that its cache serves many tasks."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -89,11 +136,10 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Da
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer)
+        tokens = encoder(tokenizer)
         for rows, data, at in slices(batches):
-            raw, out = data.tobytes(), []
-            texts = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            for doc, ids in zip(rows.column("doc_id").to_pylist(), words.encode(texts), strict=True):
+            out = []
+            for doc, ids in zip(rows.column("doc_id").to_pylist(), tokens.encode(data, at), strict=True):
                 ids += end
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
