@@ -113,7 +113,8 @@ def _sampled(train: DataFrame, sample: int) -> DataFrame:
 def _trained(documents: DataFrame, train: DataFrame, sample: int) -> DataFrame:
     """Class counts of features, and the features of the sample."""
     marked = train.join(_sampled(train, sample), ["doc_id", "label"], "left")
-    texts = documents.select(F.col("doc_id").cast("long"), "text").join(marked, "doc_id")
+    # One plan at every size: labels grow with the corpus, so they are not broadcast.
+    texts = documents.select(F.col("doc_id").cast("long"), "text").join(marked.hint("merge"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << BITS), np.int64)
