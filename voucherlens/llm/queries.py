@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voucherlens.llm import chat, decontamination, fingerprints, jaccard, licenses, packing, quality, url_reputation
+from voucherlens.llm import chat, decontamination, fingerprints, jaccard, licenses, lines, packing, quality, url_reputation
 from voucherlens.llm.url_reputation import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,15 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(read(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@query("op6_line_dedup")
+def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    built, _ = lines.dedup_lines(read(spark, sf, "documents"))
+    return built.select(
+        "row.doc_id", "n_lines", "n_removed",
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 # Fixed value of the chat contract: a conversation that says control strings.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
