@@ -23,12 +23,13 @@ read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voucherlens.llm.text import SPACE, slices, table, word_hashes, words
 from voucherlens.session import written
@@ -238,6 +239,21 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, score double")
 
 
+def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """The score as a function of a text column, for filters that keep all columns."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def run(text: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], ["text"])
+        model, found = shared.value, []
+        for _, data, at in slices(iter([batch])):
+            found += map(model.margin, features(data, at))
+        return pd.Series(model.score(np.array(found, float)))
+
+    return run
+
+
 def held_out(doc_id: Column) -> Column:
     """A third of the ids, by the CRC-32 of the id as text."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
