@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voucherlens.llm import chat, decontamination, fingerprints, jaccard, licenses, lines, packing, quality, url_reputation
+from voucherlens.llm import chat, decontamination, fingerprints, jaccard, licenses, lines, packing, quality, suffixes, url_reputation
 from voucherlens.llm.url_reputation import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,15 @@ def op3_url_reputation(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op4_suffix_array_dedup")
+def op4_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = suffixes.cut_repeats(read(spark, sf, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("span_start").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(read(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
