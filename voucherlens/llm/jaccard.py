@@ -212,9 +212,10 @@ def screen(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = counted.where("key != 0").groupBy("key").agg(
         F.max("n").alias("n"), F.count("n").alias("copies"), F.sum("credit").alias("credit"),
         F.min(F.when(F.col("n").isNotNull(), F.coalesce("doc_id", F.lit(NO_ID)))).alias("first_id"),
+        F.min("doc_id").alias("smallest_id"),
     )
     passed = F.coalesce("credit", F.lit(0)) >= screened(F.col("n"))
-    return documents, written(sets.select("key", "n", "copies", "first_id", passed.alias("passed")), "sets")
+    return documents, written(sets.select("key", "n", "copies", "first_id", "smallest_id", passed.alias("passed")), "sets")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -285,10 +286,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     of_set = sets.join(classes.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
     of_set = written(of_set.select(
-        "key", F.coalesce("component", "key").alias("class"), F.when(F.col("first_id") != NO_ID, F.col("first_id")).alias("first_id"),
+        "key", F.coalesce("component", "key").alias("class"), "smallest_id",
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     ), "classes")
-    ids = of_set.groupBy("class").agg(F.min("first_id").alias("component_id"))
+    ids = of_set.groupBy("class").agg(F.min("smallest_id").alias("component_id"))
     of_set = written(of_set.join(ids, "class").select("key", "component_id", "n_links"), "classes")
     joined = by_document.join(of_set, "key", "left")
     return joined.select(
