@@ -6,11 +6,12 @@ costs the tasks it ran and nothing else. Keys are 64-bit.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voucherlens.llm.text import U64, mix, signed, table
 from voucherlens.session import written
@@ -23,6 +24,12 @@ BLOOM_BITS = 26
 PROBES = 4
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of rounds whose results are stored."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for nodes that are not it.
 

@@ -32,13 +32,13 @@ read.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from voucherlens.llm.components import release_shuffles
 from voucherlens.llm.text import U64, byte_table, mix, signed, slices, table
 from voucherlens.session import written
 
@@ -345,12 +345,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _release_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of rounds whose results are stored."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def cut_repeats(documents: DataFrame) -> DataFrame:
     """Per document: n_bytes, the kept bytes, and the removed spans as byte ranges."""
     spark = documents.sparkSession
@@ -364,13 +358,13 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
     first = written(runs.groupBy("doc_id").agg(
         of_status(FULL, "whole"), of_status(PART, "part"), of_status(SCATTERED, "scattered")
     ), "repeat-runs")
-    _release_shuffles(spark)
+    release_shuffles(spark)
 
     asked = first.select("doc_id", "part", "scattered").where("size(part) + size(scattered) > 0")
     windows = docs.join(asked.hint("merge"), "doc_id").mapInArrow(_find_windows(buckets), sent)
     windows = windows.repartition(buckets, "bucket").mapInArrow(_rank_windows, "doc_id long, windows binary")
     second = written(windows, "repeat-windows")
-    _release_shuffles(spark)
+    release_shuffles(spark)
 
     second = second.groupBy("doc_id").agg(F.collect_list("windows").alias("windows"))
     joined = docs.join(first.hint("merge"), "doc_id", "left").join(second.hint("merge"), "doc_id", "left")
