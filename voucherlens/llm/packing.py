@@ -37,7 +37,7 @@ from voucherlens.session import written
 CAPACITY = 4096
 END_ID = 2
 #: Words and stems whose ids a Python worker remembers, and the longest in bytes.
-CACHED_WORDS, CACHED_STEMS = 600_000, 800_000
+CACHED_WORDS, CACHED_STEMS = 300_000, 400_000
 CACHED_BYTES = 48
 #: ASCII characters that are neither letter, digit nor white space. Fixed values.
 END_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -137,7 +137,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer)
-        for rows, data, at in slices(batches):
+        for rows, data, at in slices(batches, limit=1 << 20):
             out = []
             for doc, ids in zip(rows.column("doc_id").to_pylist(), tokens.encode(data, at), strict=True):
                 ids += end

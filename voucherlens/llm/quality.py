@@ -184,7 +184,7 @@ def fit_margin(
     values = []
     for own in texts:
         v = ratios[own]
-        values.append(v / max(np.linalg.norm(v), 1e-9))
+        values.append((v / max(np.linalg.norm(v), 1e-9)).astype(np.float32))
     weights, intercept = np.zeros(len(ratios)), 0.0
     alpha = np.zeros(len(texts))
     # The sample holds both classes alike; costs restore their shares.
