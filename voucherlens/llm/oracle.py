@@ -16,8 +16,8 @@ def _text(value: str) -> str:
 def _strength(members: str, by: str) -> str:
     """The spread of shares within groups, written as in the empirical-Bayes model."""
     return f"""
-        SELECT *, 1 / greatest(least(coalesce(CASE WHEN scale > 0 AND m * (1 - m) > 0 THEN
-            (squares - group_n * m * m - (members - 1) * m * (1 - m)) / ((scale - (members - 1)) * m * (1 - m)) END, 0), 0.5), 1 / 1001.0) - 1 AS strength
+        SELECT *, 1 / greatest(least(coalesce(
+            (squares - group_n * m * m - (members - 1) * m * (1 - m)) / nullif((scale - (members - 1)) * m * (1 - m), 0), 0), 0.5), 1 / 1001.0) - 1 AS strength
         FROM (SELECT {by}, sum(good) AS group_good, sum(n) AS group_n, sum(good) / sum(n) AS m,
               sum(n * (good / n) * (good / n)) AS squares, count(*) AS members,
               sum(n) - sum(n * n) / sum(n) AS scale FROM {members} GROUP BY {by})"""
@@ -53,8 +53,8 @@ def _url_sql() -> str:
     s AS ({_strength("dm", "suffix")}),
     sm AS (SELECT 0 AS root, group_good AS good, group_n AS n FROM s),
     r AS ({_strength("sm", "root")}),
-    s2 AS (SELECT suffix, s.strength, (s.group_good + r.strength * (r.group_good + 1) / (r.group_n + 2)) / (s.group_n + r.strength) AS mean FROM s, r),
-    d2 AS (SELECT d.domain, d.strength, (d.group_good + s2.strength * s2.mean) / (d.group_n + s2.strength) AS mean FROM d JOIN s2 USING (suffix)),
+    s2 AS (SELECT suffix, least(s.strength, s.group_n + r.strength) AS strength, (s.group_good + r.strength * (r.group_good + 1) / (r.group_n + 2)) / (s.group_n + r.strength) AS mean FROM s, r),
+    d2 AS (SELECT d.domain, least(d.strength, d.group_n + s2.strength) AS strength, (d.group_good + s2.strength * s2.mean) / (d.group_n + s2.strength) AS mean FROM d JOIN s2 USING (suffix)),
     ab AS (SELECT host, good + d2.strength * d2.mean AS a, n - good + d2.strength * (1 - d2.mean) AS b FROM labels_of JOIN d2 USING (domain)),
     h AS (SELECT host, least(a / (a + b) + 2 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 1.0) AS upper FROM ab)
     SELECT page_id, host, path, rule,

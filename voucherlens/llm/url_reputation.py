@@ -6,7 +6,8 @@ share is beta-binomial: the prior of a host is its registered domain, that of a
 domain its suffix, that of a suffix all labelled pages. At each level the prior
 counts as ``strength`` pages, estimated from how much the shares of the level's
 members differ (method of moments), so levels that agree shrink much and levels
-that differ shrink little. A host is blocked only if it is surely bad: if the
+that differ shrink little. A prior never counts for more pages than there are
+behind it. A host is blocked only if it is surely bad: if the
 upper posterior bound, mean + ``z`` standard deviations, is below ``least``.
 
 Only DataFrame functions are used. Outcomes are counted per host before any
@@ -106,7 +107,8 @@ def _strength(members: DataFrame, by: list[str]) -> DataFrame:
     within = (F.col("members") - 1) * variance
     between = F.col("squares") - F.col("group_n") * F.col("m") * F.col("m")
     scale = F.col("group_n") - F.col("n_squares") / F.col("group_n")
-    rho = F.when((scale > 0) & (variance > 0), (between - within) / ((scale - (F.col("members") - 1)) * variance))
+    # Members of one page each, or of one share, say nothing about the spread.
+    rho = F.try_divide(between - within, (scale - (F.col("members") - 1)) * variance)
     rho = F.greatest(F.least(F.coalesce(rho, F.lit(0.0)), F.lit(0.5)), F.lit(1 / 1001))
     return groups.select(*by, "group_good", "group_n", (1 / rho - 1).alias("strength"))
 
@@ -133,11 +135,11 @@ def reputations(outcomes: DataFrame, *, z: float = 2.0) -> tuple[DataFrame, Data
         F.col("strength").alias("root_strength"),
     )
     suffixes = suffixes.withColumn("root", F.lit(0)).join(everything, "root").select(
-        "suffix", F.col("strength").alias("suffix_strength"),
+        "suffix", F.least("strength", F.col("group_n") + F.col("root_strength")).alias("suffix_strength"),
         ((F.col("group_good") + F.col("root_strength") * F.col("root_mean")) / (F.col("group_n") + F.col("root_strength"))).alias("suffix_mean"),
     )
     domains = domains.join(suffixes, "suffix").select(
-        "domain", F.col("strength").alias("domain_strength"),
+        "domain", F.least("strength", F.col("group_n") + F.col("suffix_strength")).alias("domain_strength"),
         ((F.col("group_good") + F.col("suffix_strength") * F.col("suffix_mean")) / (F.col("group_n") + F.col("suffix_strength"))).alias("domain_mean"),
     )
     a = F.col("good") + F.col("domain_strength") * F.col("domain_mean")
