@@ -25,7 +25,10 @@ PROBES = 4
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of rounds whose results are stored."""
+    """Let Spark remove the shuffle files of rounds whose results are stored.
+
+    It does so when nothing refers to a round's plan, so callers drop it first.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

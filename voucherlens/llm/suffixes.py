@@ -140,7 +140,8 @@ def _sent(**columns) -> pa.RecordBatch:
 
 
 def _answer(doc: np.ndarray, run: np.ndarray, status: np.ndarray, buckets: int) -> pa.RecordBatch:
-    return _sent(bucket=run % U64(buckets), doc_id=doc, run=signed(run), status=status.astype(np.int8))
+    spread = mix(run + doc.astype(U64)) % U64(buckets)
+    return _sent(bucket=spread, doc_id=doc, run=signed(run), status=status.astype(np.int8))
 
 
 def _by_bucket(bucket: np.ndarray, entries: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -358,12 +359,14 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
     first = written(runs.groupBy("doc_id").agg(
         of_status(FULL, "whole"), of_status(PART, "part"), of_status(SCATTERED, "scattered")
     ), "repeat-runs")
+    del runs
     release_shuffles(spark)
 
     asked = first.select("doc_id", "part", "scattered").where("size(part) + size(scattered) > 0")
     windows = docs.join(asked.hint("merge"), "doc_id").mapInArrow(_find_windows(buckets), sent)
     windows = windows.repartition(buckets, "bucket").mapInArrow(_rank_windows, "doc_id long, windows binary")
     second = written(windows, "repeat-windows")
+    del windows
     release_shuffles(spark)
 
     second = second.groupBy("doc_id").agg(F.collect_list("windows").alias("windows"))
