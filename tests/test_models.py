@@ -59,13 +59,33 @@ def test_trees_repeat_and_report(spark, planted):
 
 def test_grid_auc_is_the_pooled_auc(spark, planted):
     train, valid = planted
-    fitted = models.fit_watched_trees(train, valid, rounds=3)
+    fitted = models.fit_watched_trees(train, valid, rounds=3, patience=1)
     labelled = valid.withColumn("label", models.binary_label(F.col("label")))
     (row,) = pooled_auc(models.score(fitted.model, labelled)).collect()
     assert row.auc == pytest.approx(fitted.valid_auc)
     assert 1 <= fitted.trials[0]["rounds"] <= 3
 
 
+def test_early_stopping_goes_on_past_small_gains(planted):
+    """With a small step every gain is small; more than one tree is needed."""
+    train, valid = planted
+    fitted = models.fit_watched_trees(train, valid, rounds=8)
+    assert fitted.trials[0]["rounds"] == 8
+
+
+def test_the_round_of_least_loss_is_kept():
+    losses = [0.9, 0.7, 0.8, 0.6, 0.65, 0.7, 0.75, 0.1]
+    assert models.best_round(losses, 3) == 4
+    assert models.best_round(losses, 300) == 8
+    assert models.best_round(losses, 1) == 2
+    assert models.best_round([0.5], 300) == 1
+
+
+def test_default_rounds():
+    assert {k: models.boosted_trees(k).getMaxIter() for k in models.ROUNDS} == {"deep": 800, "tuned": 300, "watched": 3000}
+    assert models.boosted_trees("deep", rounds=2).getMaxIter() == 2
+
+
 def test_kfold_report(planted):
     train, _ = planted
     fitted, report = models.kfold_report(train, folds=3, rounds=2)

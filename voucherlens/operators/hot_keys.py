@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voucherlens.columns import COUPON
+from voucherlens.columns import COUPON, RECEIVED
 
 # At most this many keys can hold more than 1/MAX_HOT_KEYS of the rows, so a
 # list of hot keys never grows with the data.
@@ -19,6 +20,15 @@ TRACKED_ITEMS = 32768
 LANES = 64
 
 
+# Keys in which a missing value is a value like others.
+NULLABLE = {COUPON, RECEIVED}
+
+
+def key_hash(keys: Iterable[str]) -> Column:
+    """Hash of a key that is the same for int and bigint columns."""
+    return F.xxhash64(*[F.col(k).cast("string") for k in keys])
+
+
 @dataclass(frozen=True)
 class HotRule:
     """A key is hot when it holds over ``share`` of the rows and over ``min_rows``."""
@@ -43,13 +53,13 @@ class HotKeys:
     def contains(self) -> Column:
         """Whether a row's key is hot."""
         hashes = [h for group in self.by_slices.values() for h in group]
-        return F.xxhash64(*self.keys).isin(hashes) if hashes else F.lit(False)
+        return key_hash(self.keys).isin(hashes) if hashes else F.lit(False)
 
     def slices(self) -> Column:
         """Number of slices of a row's key; 1 unless it is hot."""
         count = F.lit(1)
         for slices, hashes in self.by_slices.items():
-            count = F.when(F.xxhash64(*self.keys).isin(hashes), slices).otherwise(count)
+            count = F.when(key_hash(self.keys).isin(hashes), slices).otherwise(count)
         return count
 
 
@@ -63,7 +73,7 @@ def find_hot_keys(
     """
     hashed = df.select(
         F.pmod(F.spark_partition_id(), F.lit(LANES)).alias("lane"),
-        *[F.xxhash64(*keys).alias(name) for name, keys in key_sets.items()],
+        *[key_hash(keys).alias(name) for name, keys in key_sets.items()],
     )
     lanes = hashed.groupBy("lane").agg(
         F.count("*").alias("rows"),
@@ -113,13 +123,13 @@ def attach(left: DataFrame, right: DataFrame, hot: HotKeys) -> DataFrame:
 
 
 def _left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join that keeps the left key columns; missing coupons match each other."""
-    if COUPON not in keys:
+    """Left join that keeps the left key columns; missing coupons and days match each other."""
+    if not NULLABLE & set(keys):
         return left.join(right, keys, "left")
     renamed = right.withColumnsRenamed({k: f"right_{k}" for k in keys})
     condition = F.lit(True)
     for key in keys:
         ours, theirs = left[key], renamed[f"right_{key}"]
-        equal = ours.eqNullSafe(theirs) if key == COUPON else ours == theirs
+        equal = ours.eqNullSafe(theirs) if key in NULLABLE else ours == theirs
         condition = condition & equal
     return left.join(renamed, condition, "left").drop(*[f"right_{k}" for k in keys])

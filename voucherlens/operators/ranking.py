@@ -107,7 +107,7 @@ def quantiles(
     value = F.col(column).cast("double")
     low, high, rows = bounds or df.agg(F.min(value), F.max(value), F.count(value)).first()
     if not rows:
-        raise ValueError(f"column {column} holds no values")
+        return df.sparkSession.createDataFrame([(float(q), None) for q in shares], "share double, value double")
     ranks = sorted({r for q in shares for r in _ranks(q, rows)})
     # Subtracting and dividing by constants keep the order of doubles.
     unit = (F.col("value") - low) / ((high - low) or 1.0)

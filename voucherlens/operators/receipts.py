@@ -19,9 +19,6 @@ from voucherlens.operators.hot_keys import HotKeys, HotRule, attach, find_hot_ke
 
 COPIES = "copies"
 RECEIPT_KEY = [USER, COUPON, RECEIVED]
-KEY_SETS = {"user": [USER], "receipt": RECEIPT_KEY}
-
-
 DAY = "day"
 
 
@@ -108,13 +105,16 @@ def ordinary_receipts(rows: DataFrame) -> DataFrame:
 def hot_user_receipts(rows: DataFrame) -> DataFrame:
     """One row per receipt key with the ``t_`` features, for hot users.
 
-    The per-day table holds at most one row per hot user and calendar day, so
-    it is broadcast.
+    The per-day table holds at most one row per hot user and calendar day;
+    receipts without a day are a day of their own.
     """
     daily = daily_receipts(rows)
     per_day = daily.groupBy(USER, RECEIVED).agg(F.sum(COPIES).alias("day_all"))
     per_day = per_day.withColumn("total", F.sum("day_all").over(Window.partitionBy(USER)))
-    joined = _coupon_windows(_with_day(daily)).join(F.broadcast(per_day), [USER, RECEIVED], "left")
+    counted = _coupon_windows(_with_day(daily))
+    per_day = per_day.withColumnsRenamed({USER: "day_user", RECEIVED: "day_received"})
+    same = (F.col(USER) == F.col("day_user")) & F.col(RECEIVED).eqNullSafe(F.col("day_received"))
+    joined = counted.join(per_day, same, "left")
     return joined.select(*RECEIPT_KEY, *_features())
 
 

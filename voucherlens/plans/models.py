@@ -150,12 +150,28 @@ def logistic_grid(
     return Fitted(final, best["auc"], trials)
 
 
+# Boosting rounds of each setting, and rounds without a better one before a stop.
+ROUNDS = {"deep": 800, "tuned": 300, "watched": 3000}
+PATIENCE = 300
+
+
+def best_round(losses: list[float], patience: int) -> int:
+    """Rounds up to the least loss, looking on for ``patience`` rounds after each best."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
 def boosted_trees(kind: str = "tuned", *, rounds: int | None = None) -> GBTClassifier:
     """Boosted trees in one of three settings.
 
     ``deep`` and ``tuned`` carry the tree settings of the two batch models,
-    ``watched`` those of the early-stopping one. Every round runs a few jobs,
-    so the default number of rounds is in the tens; ``rounds`` sets any other.
+    ``watched`` those of the early-stopping one. Every round runs a few jobs;
+    ``rounds`` sets another number than that of the setting.
     """
     # Depth, step, sampling and leaf size of each setting.
     settings = {
@@ -173,7 +189,7 @@ def boosted_trees(kind: str = "tuned", *, rounds: int | None = None) -> GBTClass
         ),
     }
     return GBTClassifier(
-        labelCol=LABEL, maxIter=rounds or 30, seed=MODEL_SEED, **settings[kind]
+        labelCol=LABEL, maxIter=ROUNDS[kind] if rounds is None else rounds, seed=MODEL_SEED, **settings[kind]
     )
 
 
@@ -206,18 +222,25 @@ def fit_watched_trees(
     valid: DataFrame,
     *,
     rounds: int | None = None,
-    tolerance: float = 0.001,
+    patience: int = PATIENCE,
     columns: list[str] | None = None,
 ) -> Fitted:
-    """Boosting that stops when the loss on ``valid`` no longer improves."""
+    """Boosting kept up to the round of least loss on ``valid``.
+
+    All rounds are trained, since Spark's own stop has no patience. Rounds build
+    on each other and their seeds on their number, so a fit of fewer rounds is
+    the beginning of a fit of more.
+    """
     both = split_table(train, valid)
     stages = [_assembler(columns or predictors(train.columns))]
     ready = _labels_for(PipelineModel(stages).transform(both)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         estimator = boosted_trees("watched", rounds=rounds)
-        estimator.setValidationIndicatorCol(IS_VALID)
-        estimator.set(estimator.validationTol, tolerance)
-        model = estimator.fit(ready)
+        seen, held_out = ready.where(~F.col(IS_VALID)), ready.where(IS_VALID)
+        model = estimator.fit(seen)
+        kept = best_round(model.evaluateEachIteration(held_out), patience)
+        if kept < model.getNumTrees:
+            model = estimator.setMaxIter(kept).fit(seen)
         value = _grid_auc([model], ready.where(IS_VALID))[0]
     finally:
         ready.unpersist()

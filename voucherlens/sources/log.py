@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from voucherlens.columns import (
     BOUGHT, COUPON, DATE_TEXT, DISCOUNT, DISTANCE, MERCHANT, MISSING_TEXT, RECEIVED, USER,
@@ -25,6 +25,9 @@ def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
         .option("header", True)
         .option("nullValue", MISSING_TEXT)
         .option("dateFormat", DATE_TEXT)
+        # Headers must name the columns in order, and a malformed value fails the read.
+        .option("enforceSchema", False)
+        .option("mode", "FAILFAST")
         .csv(path)
     )
 
@@ -39,8 +42,17 @@ def read_test_log(spark: SparkSession, path: str) -> DataFrame:
     return _read_csv(spark, path, TEST_SCHEMA)
 
 
+def _strict(text: Column, typed: Column, name: str) -> Column:
+    """The typed value, or an error where there is text that does not fit."""
+    wrong = F.raise_error(F.concat(F.lit(f"malformed {name}: "), text)).cast("string")
+    return F.when(text.isNotNull() & typed.isNull() & wrong.isNull(), None).otherwise(typed)
+
+
 def typed_log(raw: DataFrame) -> DataFrame:
-    """Type a log held as text, where the word ``null`` marks a missing value."""
+    """Type a log held as text, where the word ``null`` marks a missing value.
+
+    Any other value that does not fit its type fails the job.
+    """
     text = {c: F.nullif(F.col(c).cast("string"), F.lit(MISSING_TEXT)) for c in raw.columns}
     typed = []
     for field in TRAIN_SCHEMA:
@@ -48,9 +60,9 @@ def typed_log(raw: DataFrame) -> DataFrame:
             continue
         value = text[field.name]
         if isinstance(field.dataType, T.DateType):
-            value = F.try_to_date(value, DATE_TEXT)
+            value = _strict(value, F.try_to_date(value, DATE_TEXT), field.name)
         elif not isinstance(field.dataType, T.StringType):
-            value = value.try_cast(field.dataType)
+            value = _strict(value, value.try_cast(field.dataType), field.name)
         typed.append(value.alias(field.name))
     return raw.select(*typed)
 
