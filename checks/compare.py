@@ -17,8 +17,6 @@ from checks.oracle import oracle_sql
 from checks.queries import QUERIES
 from voucherlens.session import configure
 
-TABLES = "region nation customer supplier part orders lineitem".split()
-
 
 def local_session(cpus: int = 8) -> SparkSession:
     builder = (
@@ -35,9 +33,8 @@ def local_session(cpus: int = 8) -> SparkSession:
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
-    for table in TABLES:
-        path = Path(sf_dir) / f"{table}.parquet"
-        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}')")
+    for path in sorted(Path(sf_dir).glob("*.parquet")):
+        connection.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
     return connection
 
 
