@@ -123,6 +123,34 @@ def test_lines_against_brute_force(table, corpus):
     assert lines.dedup_lines(table([]))[0].collect() == []
 
 
+def test_candidates_reach_nine_tenths_of_similar_lines():
+    """Judged by edit similarity alone, over lengths and numbers of edits up to a tenth."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    pairs = []
+    while len(pairs) < 1500:
+        a = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 60)))
+        b = list(a)
+        for _ in range(rng.randint(1, len(a) // 10)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "e", "x"])
+        b = " ".join("".join(b).split())
+        if a != b and min(len(a), len(b)) >= lines.LEAST and lines.similar(a, b):
+            pairs.append((a.encode(), b.encode()))
+    left, right = zip(*pairs)
+    shared = (lines.block_keys(list(left)) == lines.block_keys(list(right))).any(axis=0)
+    near = np.bitwise_count(lines.simhashes(list(left)) ^ lines.simhashes(list(right))) <= lines.BITS_APART
+    assert (shared & near).mean() >= 0.9
+
+
+def test_one_changed_character_is_a_copy(table):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefghijklmno ") for _ in range(12 + 3 * i)) + " closing words" for i in range(40)]
+    rows = [(i, x) for i, x in enumerate(texts)] + [(100 + i, x[:8] + "z" + x[9:]) for i, x in enumerate(texts)]
+    removed = {r["row"]["doc_id"]: r["n_removed"] for r in lines.dedup_lines(table(rows))[0].collect()}
+    assert sum(removed[100 + i] for i in range(40)) >= 38 and not any(removed[i] for i in range(40))
+
+
 # --- decontamination ---------------------------------------------------------
 
 
