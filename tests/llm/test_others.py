@@ -250,6 +250,20 @@ def test_bad_hosts_are_blocked_and_small_ones_shrink(spark):
     assert found == {1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def test_hosts_without_outcomes_take_their_domain_suffix_or_all_pages(spark):
+    outcomes = [(f"h{i}.bad.com", 0) for i in range(8) for _ in range(20)]
+    outcomes += [(f"good{i}.com", 1) for i in range(60) for _ in range(5)]
+    outcomes += [(f"d{i}.xyz", 0) for i in range(30) for _ in range(5)]
+    urls = {1: "new.bad.com", 2: "new.good1.com", 3: "other.com", 4: "new.xyz", 5: "new.net"}
+    pages = spark.createDataFrame([(k, f"http://{h}/") for k, h in urls.items()], "page_id long, url string")
+    outcomes = spark.createDataFrame(outcomes, "host string, good int")
+    found = {r["page_id"]: r for r in url_reputation.judge(pages, outcomes, []).collect()}
+    assert {k: r["verdict"] for k, r in found.items()} == {1: "block", 2: "allow", 3: "allow", 4: "block", 5: "allow"}
+    assert all(r["good_share"] is not None for r in found.values())
+    bad = spark.createDataFrame([(f"h{i}.com", 0) for i in range(200)], "host string, good int")
+    assert {r["verdict"] for r in url_reputation.judge(pages, bad, []).collect()} == {"block"}
+
+
 def test_licences(table):
     grant = licenses.SENTENCES["mit-grant"] + "\n" + licenses.SENTENCES["mit-condition"]
     rows = [(1, "Text. Licensed under the  APACHE license, version 2.0. More"), (2, grant.upper()), (3, licenses.SENTENCES["mit-condition"]),

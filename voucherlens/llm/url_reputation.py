@@ -1,8 +1,9 @@
 """URL filter: rules first, then an empirical-Bayes reputation of the host.
 
 Rules name a host and a path prefix and decide pages directly. All other pages
-are judged by their host's share of good outcomes among labelled pages. The
-share is beta-binomial: the prior of a host is its registered domain, that of a
+are judged by their host's share of good outcomes among labelled pages, those of
+a host without any by its registered domain's, else its suffix's, else that of
+all pages. The share is beta-binomial: the prior of a host is its registered domain, that of a
 domain its suffix, that of a suffix all labelled pages. At each level the prior
 counts as ``strength`` pages, estimated from how much the shares of the level's
 members differ (method of moments), so levels that agree shrink much and levels
@@ -113,8 +114,14 @@ def _strength(members: DataFrame, by: list[str]) -> DataFrame:
     return groups.select(*by, "group_good", "group_n", (1 / rho - 1).alias("strength"))
 
 
-def reputations(outcomes: DataFrame, *, z: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """Posterior of every host, and of every suffix and domain for hosts not seen.
+def _upper(a: Column, b: Column, z: float) -> Column:
+    """The upper bound of a beta posterior."""
+    deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
+    return F.least(a / (a + b) + z * deviation, F.lit(1.0))
+
+
+def reputations(outcomes: DataFrame, *, z: float = 2.0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Posterior of every host, and of every domain, suffix and all pages for hosts not seen.
 
     ``outcomes`` has ``host`` and ``good`` (1 or 0).
     """
@@ -144,11 +151,16 @@ def reputations(outcomes: DataFrame, *, z: float = 2.0) -> tuple[DataFrame, Data
     )
     a = F.col("good") + F.col("domain_strength") * F.col("domain_mean")
     b = F.col("n") - F.col("good") + F.col("domain_strength") * (1 - F.col("domain_mean"))
-    deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     hosts = hosts.join(domains, "domain").select(
-        "host", (a / (a + b)).alias("mean"), F.least(a / (a + b) + z * deviation, F.lit(1.0)).alias("upper")
+        "host", (a / (a + b)).alias("mean"), _upper(a, b, z).alias("upper")
     )
-    return hosts, domains
+    return hosts, domains, suffixes, everything
+
+
+def _prior(level: DataFrame, name: str, z: float) -> DataFrame:
+    """What a member of a level that was not seen is expected to be."""
+    mean, strength = F.col(f"{name}_mean"), F.col(f"{name}_strength")
+    return level.select(name, mean, _upper(strength * mean, strength * (1 - mean), z).alias(f"{name}_upper"))
 
 
 def judge(
@@ -156,12 +168,22 @@ def judge(
 ) -> DataFrame:
     """Host, path, rule, verdict and the host's posterior share for every page.
 
-    A host without outcomes is judged by its prior alone, whose bound is never
-    surely bad for lack of own evidence, so it is allowed.
+    A host without outcomes is judged by its prior alone.
     """
     parsed = with_host(pages, rules)
-    hosts, _ = reputations(outcomes, z=z)
-    judged = parsed.join(hosts, "host", "left")
+    hosts, domains, suffixes, everything = reputations(outcomes, z=z)
+    # Priors meet the distinct hosts, so pages are still joined once.
+    named = parsed.select("host").distinct().withColumns(
+        {"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host")), "root": F.lit(0)}
+    )
+    named = named.join(hosts, "host", "left").join(_prior(domains, "domain", z), "domain", "left")
+    named = named.join(_prior(suffixes, "suffix", z), "suffix", "left")
+    named = named.join(F.broadcast(_prior(everything, "root", z)), "root", "left")
+    named = named.select("host", *[
+        F.coalesce(own, F.col(f"domain_{own}"), F.col(f"suffix_{own}"), F.col(f"root_{own}")).alias(own)
+        for own in ("mean", "upper")
+    ])
+    judged = parsed.join(named, "host", "left")
     by_host = F.when(F.coalesce(F.col("upper"), F.lit(1.0)) < least, BLOCK).otherwise(ALLOW)
     return judged.select(
         "page_id", "host", "path", "rule",
