@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from voucherlens.llm.filter_audit import steps
 from voucherlens.llm.licenses import NOT_WORD, RULES, SENTENCE_END, SENTENCES, normalised_text, rule_pattern
 from voucherlens.llm.queries import URL_RULES
 from voucherlens.llm.url_reputation import PUBLIC_SECOND_LEVEL
@@ -104,9 +105,70 @@ def _decontamination_sql() -> str:
     FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
 
+def _trie_sql() -> str:
+    """Every prefix as a list of turns; subtrees are found by comparing prefixes."""
+    # CRC-32 of the decimal id, a byte and then eight shifts at a time.
+    crc = """xor(4294967295::BIGINT, list_reduce(
+        list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, strlen(c::VARCHAR) + 1),
+            lambda i: [ascii((c::VARCHAR)[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+    return f"""
+    WITH t AS (SELECT conv_id AS c, turn, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said
+               FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT c, list(said ORDER BY turn NULLS FIRST) AS turns FROM t GROUP BY c),
+    cut AS (SELECT c, turns, {crc} % 6 AS h FROM own),
+    built AS (SELECT a.c, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS turns
+              FROM cut a LEFT JOIN own b ON b.c = a.c - a.c % 100),
+    p AS (SELECT c, d, turns[1:d] AS prefix, d = len(turns) AS ends
+          FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM built)),
+    n AS (SELECT prefix, d, min(c) AS conv_id, count(*) AS n_convs,
+                 sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+          FROM p GROUP BY prefix, d),
+    k AS (SELECT prefix[1:d - 1] AS above, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+    v AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children,
+                 CASE WHEN n.d > 0 THEN (n_convs - 1) * length(prefix[-1].text) ELSE 0 END AS saved
+          FROM n LEFT JOIN k ON n.prefix = k.above),
+    up AS (SELECT prefix[1:g] AS prefix, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+           FROM (SELECT *, unnest(range(0, d + 1)) AS g FROM v) GROUP BY 1)
+    SELECT v.conv_id, v.d AS depth, a.conv_id AS parent_conv_id, v.n_convs, v.n_children, up.n_leaves,
+           up.saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+    FROM v JOIN up ON v.prefix = up.prefix LEFT JOIN n a ON v.d > 0 AND a.d = v.d - 1 AND a.prefix = v.prefix[1:v.d - 1]"""
+
+
+def _audit_sql() -> str:
+    """Every document against every step of every order."""
+    rows = ", ".join(f"('{order}', {step}, {bit}, {before})" for order, step, bit, before in steps())
+    return f"""
+    WITH steps(filter_order, step, f, p) AS (VALUES {rows}),
+    d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+                 min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+    m AS (SELECT part, doc_id,
+            CASE WHEN len(words) < 50 THEN 1 ELSE 0 END
+            + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+            + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END
+            + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+            + CASE WHEN least < doc_id OR (doc_id IS NULL AND least IS NOT NULL) THEN 16 ELSE 0 END AS mask FROM w),
+    g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+                 max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    j AS (SELECT m.*, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM m LEFT JOIN g USING (doc_id)),
+    r AS (SELECT part, filter_order, step, f,
+            count(*) FILTER (WHERE mask & (p | f) = 0) AS kept,
+            count(*) FILTER (WHERE mask & p = 0 AND mask & f <> 0) AS removed,
+            count(*) FILTER (WHERE mask & p <> 0 AND mask & f <> 0) AS redundant,
+            count(*) FILTER (WHERE mask = f) AS unique_fails,
+            count(*) FILTER (WHERE mask & p = 0 AND mask & f <> 0 AND good = 1) AS good_lost,
+            count(*) FILTER (WHERE mask & p = 0 AND mask & f <> 0 AND toxic = 1) AS toxic_lost
+          FROM j, steps GROUP BY part, filter_order, step, f)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_reputation": _url_sql(),
         "op8_license_scan": _licence_sql(),
         "op10_benchmark_decontamination": _decontamination_sql(),
+        "op11_conversation_prefix_trie": _trie_sql(),
+        "op13_filter_audit": _audit_sql(),
     }

@@ -7,7 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voucherlens.llm import chat, decontamination, fingerprints, jaccard, licenses, lines, packing, quality, suffixes, url_reputation
+from voucherlens.llm import (
+    chat, decontamination, filter_audit, fingerprints, jaccard, licenses, lines, packing, prefix_trie, quality,
+    sentencepieces, suffixes, url_reputation,
+)
 from voucherlens.llm.url_reputation import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +132,20 @@ def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontamination.decontaminate(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
     return decontamination.digest(found)
+
+
+@query("op11_conversation_prefix_trie")
+def op11_conversation_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt_turns(read(spark, sf, "conversations")))
+
+
+@query("op12_sentencepiece")
+def op12_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    encoded = sentencepieces.encode(read(spark, sf, "documents"), model)
+    return sentencepieces.digest(sentencepieces.decode(encoded, model))
+
+
+@query("op13_filter_audit")
+def op13_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf, "documents"), read(spark, sf, "labels"))
