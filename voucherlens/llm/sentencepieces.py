@@ -1,9 +1,9 @@
 """SentencePiece encoding of merge-type (BPE) models by backtracking, and decoding.
 
 1. The library's own normalizer makes each text the string that it would encode.
-2. That string is cut where no piece can reach across: before a run of the space
-   mark, and round ASCII characters that occur in no piece. The distinct segments
-   of a slice are encoded once; a bounded cache keeps the ids of short ones.
+2. That string is cut between two characters that no piece holds side by side, as
+   no merge can reach across. The distinct segments of a slice are encoded once; a
+   bounded cache keeps the ids of short ones.
 3. A segment is encoded from left to right. An Aho-Corasick automaton over the
    pieces gives the longest piece that begins at each place. A piece is taken if
    it is compatible with the one before: merging both their characters anew gives
@@ -26,6 +26,7 @@ empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +38,8 @@ from voucherlens.llm.text import slices, table
 # Fixed value: how pieces write a space.
 SPACE_MARK = "▁"
 SLICE_BYTES = 1 << 20
-#: Segments, pairs and characters that a Python worker remembers.
-CACHED_SEGMENTS, CACHED_BYTES, CACHED_PAIRS = 200_000, 48, 300_000
-#: Ids that the library decodes in one call.
-DECODED_IDS = 1 << 20
+#: Segments that a Python worker remembers, the longest in bytes, and pairs of tokens.
+CACHED_SEGMENTS, CACHED_BYTES, CACHED_PAIRS = 500_000, 48, 400_000
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("token_ids", pa.list_(pa.int32()))])
 _DECODED = pa.schema([*_ENCODED, ("decoded", pa.large_string())])
@@ -50,7 +49,10 @@ _DIGEST = pa.schema([
 
 
 class Encoder:
-    """Ids of texts by one model file."""
+    """Ids of texts by one model file.
+
+    A token is a piece, by its id, or a character that occurs in pieces and is none.
+    """
 
     def __init__(self, path: str) -> None:
         import ahocorasick
@@ -59,24 +61,29 @@ class Encoder:
         self.library = model = SentencePieceProcessor(model_file=path)
         kinds = model.is_control, model.is_unknown, model.is_byte, model.is_unused
         plain = [i for i in range(model.get_piece_size()) if not any(kind(i) for kind in kinds)]
-        self._id = {model.id_to_piece(i): i for i in plain}
-        self._score = {piece: model.get_score(i) for piece, i in self._id.items()}
+        pieces = {model.id_to_piece(i): i for i in plain}
         self._bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if not all(map(model.is_byte, self._bytes)):
             raise ValueError(f"{path} has no pieces for bytes")
-        self._begin, self._end = model.bos_id(), model.eos_id()
-        characters = set("".join(self._id))
-        self._tokens = characters | set(self._id)
+        self._begin, self._end, self._count = model.bos_id(), model.eos_id(), model.get_piece_size()
+        self._score = {piece: model.get_score(i) for piece, i in pieces.items()}
+        extra = sorted(set("".join(pieces)) - set(pieces))
+        self._tokens = {**pieces, **{c: self._count + k for k, c in enumerate(extra)}}
+        self._said = [""] * (self._count + len(extra))
         self._automaton = ahocorasick.Automaton()
-        for token in self._tokens:
-            self._automaton.add_word(token, token)
+        for said, token in self._tokens.items():
+            self._said[token] = said
+            self._automaton.add_word(said, token)
         self._automaton.make_automaton()
-        self._shorter: dict[str, str | None] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._sizes = [len(said) for said in self._said]
+        # The next shorter token that a token begins with, or -1.
+        cuts = lambda said: (said[:k] for k in range(len(said) - 1, 0, -1))
+        self._shorter = [next((self._tokens[t] for t in cuts(said) if t in self._tokens), -1) for said in self._said]
+        pairs = {a << 21 | b for said in pieces for a, b in zip(*(map(ord, said.replace(SPACE_MARK, " ")[k:]) for k in (0, 1)))}
+        self._inside = np.array(sorted(pairs), np.int64)
+        self._pairs: dict[int, bool] = {}
         self._segments: dict[bytes, bytes] = {}
-        # Bytes round which a text is cut, and whether a space after another character cuts it.
-        self._alone = np.array([b < 128 and chr(b) not in characters and b != 0x20 for b in range(256)])
-        self._cut = not any(SPACE_MARK in piece.lstrip(SPACE_MARK) for piece in self._id)
+        self._older: dict[bytes, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Characters merged by falling score, the leftmost of equals first."""
@@ -89,97 +96,105 @@ class Encoder:
             at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _compatible(self, last: str, token: str) -> bool:
+    def _compatible(self, last: int, token: int) -> bool:
         """Whether both stay as they are next to each other; with no last, whether a token comes to be."""
-        key = last, token
-        known = self._pairs.get(key)
-        if known is None:
-            known = self.merged(last + token) == ([last, token] if last else [token])
-            if len(self._pairs) >= CACHED_PAIRS:
-                self._pairs.clear()
-            self._pairs[key] = known
+        sides = [self._said[t] for t in (last, token) if t >= 0]
+        known = self.merged("".join(sides)) == sides
+        if len(self._pairs) >= CACHED_PAIRS:
+            self._pairs.clear()
+        self._pairs[last << 32 | token] = known
         return known
 
-    def _prefix(self, token: str) -> str | None:
-        """The next shorter token that a token begins with."""
-        if token not in self._shorter:
-            cuts = (token[:k] for k in range(len(token) - 1, 0, -1))
-            self._shorter[token] = next((t for t in cuts if t in self._tokens), None)
-        return self._shorter[token]
-
-    def split(self, text: str) -> list[str]:
-        """The pieces of a normalised text, by backtracking."""
-        longest = list(text)
+    def split(self, text: str) -> list[int]:
+        """The tokens of a normalised text whose characters all occur in pieces, by backtracking."""
+        sizes, shorter, pairs = self._sizes, self._shorter, self._pairs
+        longest = [-1] * len(text)
         for end, token in self._automaton.iter(text):
             # Tokens arrive by their end, so the longest of a place comes last.
-            longest[end + 1 - len(token)] = token
-        size, at, out = len(text), 0, []
-        failed = bytearray(size + 1)
-        token: str | None = longest[0] if size else None
-        while at < size:
-            last = out[-1] if out else ""
-            while token is not None and (failed[at + len(token)] or not self._compatible(last, token)):
-                token = self._prefix(token)
-            if token is not None:
+            longest[end + 1 - sizes[token]] = token
+        failed, out, at, last, token = bytearray(len(text) + 1), [], 0, -1, longest[0]
+        while True:
+            while token >= 0:
+                end = at + sizes[token]
+                if not failed[end]:
+                    good = pairs.get(last << 32 | token)
+                    if good or good is None and self._compatible(last, token):
+                        break
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                at += len(token)
-                token = longest[at] if at < size else None
-                continue
-            failed[at] = 1
-            token = out.pop()  # some split exists, so the first place never fails
-            at -= len(token)
-        return out
-
-    def _ids(self, text: str) -> bytes:
-        ids: list[int] = []
+                if end == len(text):
+                    return out
+                at, last, token = end, token, longest[end]
+            else:
+                failed[at] = 1
+                token = out.pop()  # some split exists, so the first place never fails
+                at -= sizes[token]
+                last = out[-1] if out else -1
+
+    def _ids(self, segment: bytes) -> bytes:
+        text = segment.decode().replace(" ", SPACE_MARK)
+        ids = array("i")
+        if len(text) == 1 and text not in self._tokens:
+            ids.extend(self._bytes[b] for b in segment)
+            return ids.tobytes()
         for token in self.split(text):
-            known = self._id.get(token)
-            if known is None:
-                ids += [self._bytes[b] for b in token.encode()]
+            if token < self._count:
+                ids.append(token)
             else:
-                ids.append(known)
-        return np.array(ids, "<i4").tobytes()
+                ids.extend(self._bytes[b] for b in self._said[token].encode())
+        return ids.tobytes()
 
     def _segment_ids(self, segments: list[bytes]) -> list[bytes]:
+        """Ids of distinct segments; of those remembered, the less recent half goes when there are too many."""
         found = []
         for segment in segments:
             ids = self._segments.get(segment)
             if ids is None:
-                ids = self._ids(segment.decode().replace(" ", SPACE_MARK))
+                ids = self._older.get(segment)
+                if ids is None:
+                    ids = self._ids(segment)
                 if len(segment) <= CACHED_BYTES:
-                    if len(self._segments) >= CACHED_SEGMENTS:
-                        self._segments.clear()
+                    if 2 * len(self._segments) >= CACHED_SEGMENTS:
+                        self._older, self._segments = self._segments, {}
                     self._segments[segment] = ids
             found.append(ids)
         return found
 
+    def _begins(self, text: str) -> np.ndarray:
+        """For each character, whether no piece holds it together with the one before."""
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+        pair = codes[:-1] << 21 | codes[1:]
+        at = np.minimum(np.searchsorted(self._inside, pair), len(self._inside) - 1)
+        begins = np.ones(len(codes), bool)
+        begins[1:] = self._inside[at] != pair
+        return begins
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, with the begin and end ids."""
         # Marks are written as spaces, one byte each; the normalizer leaves no others.
-        normal = [self.library.normalize(t).replace(SPACE_MARK, " ").encode() for t in texts]
-        at = np.cumsum([0, *map(len, normal)])
-        data = np.frombuffer(b"".join(normal), np.uint8)
+        normal = [self.library.normalize(t).replace(SPACE_MARK, " ") for t in texts]
+        joined = "".join(normal)
+        raw = joined.encode()
+        data = np.frombuffer(raw, np.uint8)
+        first = np.flatnonzero((data & 0xC0) != 0x80)
+        places = np.r_[first, len(data)]
+        at = places[np.cumsum([0, *map(len, normal)])]
         begins = np.zeros(len(data) + 1, bool)
         begins[at] = True
-        if self._cut:
-            space = data == 0x20
-            begins[:-1] |= space & ~np.r_[False, space[:-1]]
-        alone = self._alone[data]
-        begins[:-1] |= alone
-        begins[1:] |= alone
-        edges = np.flatnonzero(begins)  # the end is an edge, as the last text ends there
-        if len(data) == 0:
-            edges = np.zeros(1, np.int64)
+        begins[first[self._begins(joined)]] = True
+        begins[-1] = True
+        edges = np.flatnonzero(begins)
         column = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)]
+            pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(raw)]
         ).dictionary_encode()
         ids = self._segment_ids(column.dictionary.to_pylist())
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<i4")
         place = column.indices.to_numpy()
-        sizes, first = size[place], (np.cumsum(size) - size)[place]
+        sizes, begin = size[place], (np.cumsum(size) - size)[place]
         past = np.r_[0, np.cumsum(sizes)]
-        every = flat[np.repeat(first - past[:-1], sizes) + np.arange(past[-1])]
+        every = flat[np.repeat(begin - past[:-1], sizes) + np.arange(past[-1])]
         bounds = past[np.searchsorted(edges, at)].tolist()
         for a, b in zip(bounds, bounds[1:]):
             yield np.concatenate([[self._begin], every[a:b], [self._end]]).astype(np.int32)
