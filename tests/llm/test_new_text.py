@@ -164,7 +164,8 @@ def test_encoding_a_table(spark, table, corpus, library):
     for doc, text in corpus:
         ids = library.encode(text or "", add_bos=True, add_eos=True)
         expected.append((doc, ids, library.decode(ids)))
-    found = [(r["doc_id"], r["token_ids"], r["decoded"]) for r in decoded.collect()]
+    unpacked = lambda ids: list(struct.unpack(f"<{len(ids) // 4}I", ids))
+    found = [(r["doc_id"], unpacked(r["ids"]), r["decoded"]) for r in decoded.collect()]
     assert sorted(found, key=repr) == sorted(expected, key=repr)
     digests = [
         (d, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), sha(said)) for d, ids, said in expected

@@ -25,9 +25,8 @@ empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +36,12 @@ from voucherlens.llm.text import slices, table
 
 # Fixed value: how pieces write a space.
 SPACE_MARK = "▁"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Segments that a Python worker remembers, the longest in bytes, and pairs of tokens.
-CACHED_SEGMENTS, CACHED_BYTES, CACHED_PAIRS = 500_000, 48, 400_000
+CACHED_SEGMENTS, CACHED_BYTES, CACHED_PAIRS = 240_000, 48, 250_000
 
-_ENCODED = pa.schema([("doc_id", pa.int64()), ("token_ids", pa.list_(pa.int32()))])
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.large_binary())])
 _DECODED = pa.schema([*_ENCODED, ("decoded", pa.large_string())])
-_DIGEST = pa.schema([
-    ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()),
-])
 
 
 class Encoder:
@@ -197,66 +193,55 @@ class Encoder:
         every = flat[np.repeat(begin - past[:-1], sizes) + np.arange(past[-1])]
         bounds = past[np.searchsorted(edges, at)].tolist()
         for a, b in zip(bounds, bounds[1:]):
-            yield np.concatenate([[self._begin], every[a:b], [self._end]]).astype(np.int32)
+            yield np.concatenate([[self._begin], every[a:b], [self._end]]).astype("<u4")
 
 
-_encoders: dict[str, Encoder] = {}
+_loaded: dict[tuple[object, str], object] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker, so that its caches serve many tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def loaded(kind: Callable, path: str):
+    """One object for each Python worker, so that its caches serve many tasks."""
+    if (kind, path) not in _loaded:
+        _loaded[kind, path] = kind(path)
+    return _loaded[kind, path]
 
 
 def encode(documents: DataFrame, model: str) -> DataFrame:
-    """(doc_id, token_ids) of every text."""
+    """(doc_id, ids) of every text, ids as little-endian unsigned 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(model)
+        tokens = loaded(Encoder, model)
         for rows, data, at in slices(batches, limit=SLICE_BYTES):
             raw = data.tobytes()
             texts = [raw[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            ids = list(tokens.encode(texts))
-            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(offsets, np.concatenate(ids))
-            yield table(_ENCODED, doc_id=rows.column("doc_id"), token_ids=lists)
+            yield table(_ENCODED, doc_id=rows.column("doc_id"), ids=[ids.tobytes() for ids in tokens.encode(texts)])
 
     rows = documents.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, token_ids array<int>")
+    return rows.mapInArrow(run, "doc_id long, ids binary")
 
 
-def _lists(rows: pa.RecordBatch, column: str) -> Iterator[np.ndarray]:
-    lists = rows.column(column)
-    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-    for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
-        yield values[a:b]
+def _library(path: str):
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=path)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """``encoded`` with ``decoded``, what the library makes of the ids again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = encoder(model).library
+        library = loaded(_library, model)
         for rows in batches:
-            said = [library.decode(ids.tolist()) for ids in _lists(rows, "token_ids")]
-            yield table(_DECODED, doc_id=rows.column("doc_id"), token_ids=rows.column("token_ids"), decoded=said)
+            ids = rows.column("ids")
+            said = [library.decode(np.frombuffer(x.as_buffer(), "<u4").tolist()) for x in ids]
+            yield table(_DECODED, doc_id=rows.column("doc_id"), ids=ids.cast(pa.large_binary()), decoded=said)
 
-    return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, token_ids array<int>, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
 def digest(decoded: DataFrame) -> DataFrame:
     """Number of ids, and digests of ids and decoded text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            ids = list(_lists(rows, "token_ids"))
-            yield table(
-                _DIGEST, doc_id=rows.column("doc_id"), n_tokens=[len(x) for x in ids],
-                ids_sha256=[hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids],
-                decoded_sha256=rows.column("decoded_sha256").cast(pa.string()),
-            )
-
-    rows = decoded.select("doc_id", "token_ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return decoded.select(
+        "doc_id", F.expr("CAST(length(ids) DIV 4 AS LONG)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
