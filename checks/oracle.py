@@ -193,6 +193,15 @@ def oracle_sql() -> dict[str, str]:
             " FROM ranked, (SELECT COUNT(*) FILTER (label = 1) AS np,"
             " COUNT(*) FILTER (label <> 1) AS nn FROM s) GROUP BY np, nn"
         ),
+        "auc_pooled_margin": (
+            f"WITH {LOG}, {_scored(2)}, t AS (SELECT label, (score - CAST(0.7 AS DOUBLE))"
+            " * pow(CAST(2 AS DOUBLE), User_id % 40 * 20 - 400) AS score FROM s), ranked AS (SELECT label,"
+            " RANK() OVER (ORDER BY score) + (COUNT(*) OVER (PARTITION BY score) - 1) / 2.0 AS r"
+            " FROM t) SELECT ROUND((SUM(CASE WHEN label = 1 THEN r ELSE 0 END) - np * (np + 1) / 2.0)"
+            " / (np * nn), 6) AS auc, np AS n_pos, nn AS n_neg"
+            " FROM ranked, (SELECT COUNT(*) FILTER (label = 1) AS np,"
+            " COUNT(*) FILTER (label <> 1) AS nn FROM s) GROUP BY np, nn"
+        ),
         "accuracy_report": (
             f"WITH {LOG}, {_scored(2)} SELECT ROUND(AVG(CASE WHEN (score > 0.7) = (label = 1)"
             " THEN 1.0 ELSE 0.0 END), 6) AS accuracy, COUNT(*) AS n FROM s"
@@ -215,6 +224,34 @@ def oracle_sql() -> dict[str, str]:
         ).replace("MIN(score)::DOUBLE", "ROUND(MIN(score), 6)").replace(
             "MAX(score)::DOUBLE", "ROUND(MAX(score), 6)"
         ),
+        "predictor_summary": (
+            f"WITH {LOG}, {O.assembled_ctes(2)},"
+            f" filled AS (SELECT {O.coupon_list()}, {O.wide_list()} FROM wide)"
+            + " UNION ALL ".join(
+                f" SELECT '{n}' AS \"column\", COUNT({n}) AS n, ROUND(AVG({n}), 6) AS mean,"
+                f" ROUND(STDDEV_SAMP({n}), 6) AS std, ROUND(MIN({n})::DOUBLE, 6) AS min,"
+                f" ROUND(QUANTILE_CONT({n}::DOUBLE, 0.25), 6) AS p25, ROUND(QUANTILE_CONT({n}::DOUBLE, 0.5), 6) AS p50,"
+                f" ROUND(QUANTILE_CONT({n}::DOUBLE, 0.75), 6) AS p75, ROUND(MAX({n})::DOUBLE, 6) AS max FROM filled"
+                for n in [*PREDICTORS, "t_day_gap_before", "t_day_gap_after"]
+            )
+        ),
+        "received_only": (
+            f"WITH {LOG}, d AS ({O.dataset_window(2)}), u AS ("
+            f" SELECT CAST(0 AS BIGINT) AS is_valid, {O.label()} AS label FROM train UNION ALL"
+            f" SELECT CAST(1 AS BIGINT) AS is_valid, {O.label()} AS label FROM d)"
+            " SELECT is_valid, label, COUNT(*) AS n FROM u WHERE label <> -1 GROUP BY is_valid, label"
+        ),
+        "kfold_rounds": (
+            f"WITH {LOG}, d AS (SELECT DISTINCT * FROM ({O.dataset_window(1)})),"
+            f" l AS (SELECT (User_id + Merchant_id) % 3 AS part, greatest({O.label()}, 0) AS label FROM d)"
+            " SELECT r.round, f.fold, CASE WHEN part = f.fold THEN 1 ELSE CAST(0 AS BIGINT) END AS held_out,"
+            " COUNT(*) FILTER (label = 1) AS n_pos, COUNT(*) FILTER (label = 0) AS n_neg"
+            " FROM l, (SELECT UNNEST(range(1, 5)) AS round) r, (SELECT UNNEST(range(0, 3)) AS fold) f GROUP BY ALL"
+        ),
+        "submission_rows": (
+            f"WITH {LOG}, d AS (SELECT DISTINCT * FROM ({O.dataset_window(3)}))"
+            f" SELECT {KEYS}, CAST(1 AS BIGINT) AS in_range FROM d"
+        ),
         "column_mean_compare": (
             f"WITH {LOG}"
             + " UNION ALL ".join(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -20,7 +21,7 @@ from voucherlens.operators.windows import dataset_window, history_window
 from voucherlens.plans import datasets as plans
 from voucherlens.plans import models
 from voucherlens.plans.datasets import FeatureOptions
-from voucherlens.session import written
+from voucherlens.session import run_dir, written
 from voucherlens.sources import tables
 from voucherlens.sources.derived_log import raw_log, test_log, train_log
 from voucherlens.sources.log import typed_log
@@ -277,6 +278,14 @@ def datasets_union(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("received_only")
+def received_only(spark: SparkSession, sf: str) -> DataFrame:
+    """The training log and table 2's window without rows that have no receipt, by label and part."""
+    tables_ = [log.select(USER, redemption_label()) for log in (train_log(spark, sf), _scored(spark, sf, 2))]
+    both = models.split_table(*tables_, drop_unreceived=True)
+    return comparable(both.groupBy(F.col(models.IS_VALID).cast("int").alias("is_valid"), LABEL).agg(F.count("*").alias("n")))
+
+
 @query("table_sizes")
 def table_sizes(spark: SparkSession, sf: str) -> DataFrame:
     train, test = train_log(spark, sf), test_log(spark, sf)
@@ -329,6 +338,14 @@ def auc_pooled(spark: SparkSession, sf: str) -> DataFrame:
     return comparable(ranking.pooled_auc(scored_receipts(spark, sf)))
 
 
+@query("auc_pooled_margin")
+def auc_pooled_margin(spark: SparkSession, sf: str) -> DataFrame:
+    """Margins of both signs and of very different sizes instead of probabilities."""
+    scored = scored_receipts(spark, sf)
+    size = F.pow(F.lit(2.0), F.col(USER) % 40 * 20 - 400)
+    return comparable(ranking.pooled_auc(scored.withColumn("score", (F.col("score") - 0.7) * size)))
+
+
 @query("auc_min_max_scaled")
 def auc_min_max_scaled(spark: SparkSession, sf: str) -> DataFrame:
     """Scores scaled to [0, 1] before the per-coupon AUC is averaged."""
@@ -364,6 +381,13 @@ def score_summary(spark: SparkSession, sf: str) -> DataFrame:
     return comparable(summary.describe(scored_receipts(spark, sf, 3), [USER, "score"]))
 
 
+@query("predictor_summary")
+def predictor_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """All predictors of table 2, described together."""
+    table = written(_dataset(spark, sf, 2), "dataset2")
+    return comparable(summary.describe(table, predictors(table.columns)))
+
+
 @query("column_mean_compare")
 def column_mean_compare(spark: SparkSession, sf: str) -> DataFrame:
     ours, theirs = (plans.coupon_table(_scored(spark, sf, n)) for n in (1, 2))
@@ -397,39 +421,78 @@ def logistic_grid(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(fitted.trials, "alpha double, l1_ratio double, auc double")
 
 
+#: Rounds that the registered boosting queries run; see the README for the settings' own.
+ROUNDS = 20
+
+
 @query("gbt_scores")
 def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
     train, valid = _training_tables(spark, sf)
-    fitted = models.fit_trees(train, valid, kind="deep", rounds=8)
+    fitted = models.fit_trees(train, valid, kind="deep", rounds=ROUNDS)
     return models.score(fitted.model, valid).select(USER, COUPON, RECEIVED, LABEL, "score")
 
 
 @query("gbt_early_stop")
 def gbt_early_stop(spark: SparkSession, sf: str) -> DataFrame:
+    """All rounds of the setting are allowed; a shorter patience ends it."""
     train, valid = _training_tables(spark, sf)
-    fitted = models.fit_watched_trees(train, valid, rounds=8)
-    return models.quality_report(fitted, valid)
+    fitted = models.fit_watched_trees(train, valid, patience=ROUNDS)
+    trial = fitted.trials[0]
+    rounds = [("best_round", float(trial["rounds"])), ("rounds_grown", float(trial["grown"]))]
+    report = models.quality_report(fitted, valid)
+    return report.unionByName(spark.createDataFrame(rounds, "metric string, value double"))
 
 
 @query("gbt_importances")
 def gbt_importances(spark: SparkSession, sf: str) -> DataFrame:
     train, valid = _training_tables(spark, sf)
-    return models.feature_importances(models.fit_trees(train, valid, rounds=5), spark)
+    return models.feature_importances(models.fit_trees(train, valid, rounds=ROUNDS), spark)
 
 
 @query("kfold_report")
 def kfold_report(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = _training_tables(spark, sf)
-    return models.kfold_report(train, rounds=4)[1]
+    return models.kfold_report(train, rounds=ROUNDS // 2)[1]
+
+
+def _kfold(spark: SparkSession, sf: str, rounds: int) -> models.Grown:
+    """Folds that SQL can repeat."""
+    train = written(_dataset(spark, sf, 1), "dataset1")
+    return models.kfold_rounds(train, rounds=rounds, fold=(F.col(USER) + F.col(MERCHANT)) % 3)
+
+
+@query("kfold_curve")
+def kfold_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return models.kfold_curve(_kfold(spark, sf, ROUNDS // 2), spark)
+
+
+@query("kfold_rounds")
+def kfold_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each class that every round's AUC is taken over, by fold and side."""
+    rows = [(r["round"], r["model"], int(r["held_out"]), r["n_pos"], r["n_neg"]) for r in _kfold(spark, sf, 4).curve]
+    return comparable(spark.createDataFrame(rows, "round int, fold int, held_out int, n_pos bigint, n_neg bigint"))
+
+
+def _submission(spark: SparkSession, sf: str, rounds: int) -> DataFrame:
+    train, valid = _training_tables(spark, sf)
+    fitted = models.fit_trees(train, valid, kind="tuned", rounds=rounds)
+    scored = written(models.score(fitted.model, _dataset(spark, sf, 3)).select(USER, COUPON, RECEIVED, "score"), "scores")
+    return tables.sorted_submission(scaling.min_max(scored, "score"))
 
 
 @query("submission")
 def submission(spark: SparkSession, sf: str) -> DataFrame:
     """Trees fitted on tables 1 and 2 score table 3, scaled to [0, 1]."""
-    train, valid = _training_tables(spark, sf)
-    fitted = models.fit_trees(train, valid, kind="tuned", rounds=8)
-    scored = models.score(fitted.model, written(_dataset(spark, sf, 3), "dataset3"))
-    return tables.sorted_submission(scaling.min_max(scored, "score"))
+    return _submission(spark, sf, ROUNDS)
+
+
+@query("submission_rows")
+def submission_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Which receipts the scaled submission holds, written as CSV and read again."""
+    path = f"{run_dir(spark)}/submission-{uuid.uuid4().hex}"
+    tables.write_submission(_submission(spark, sf, 2), path)
+    rows = tables.read_submission(spark, path)
+    return rows.select(USER, COUPON, RECEIVED, F.col("score").between(0, 1).cast("bigint").alias("in_range"))
 
 
 FLAGSHIP = "dataset2_features"

@@ -1,10 +1,14 @@
 """Models on a table with planted signal."""
 
+from dataclasses import replace
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voucherlens import session
 from voucherlens.operators.ranking import pooled_auc
-from voucherlens.plans import models
+from voucherlens.plans import boosting, models
 from voucherlens.session import written
 from voucherlens.sources import tables
 
@@ -57,28 +61,89 @@ def test_trees_repeat_and_report(spark, planted):
     assert sorted(r.feature for r in ranked) == sorted(COLUMNS) and ranked[0].feature == "c_x"
 
 
-def test_grid_auc_is_the_pooled_auc(spark, planted):
+SMALL = models.TreeSettings(max_depth=3, step=0.3, subsample=0.7, features="all", min_rows=1)
+
+
+def test_watched_auc_is_the_pooled_auc_of_the_kept_model(spark, planted):
     train, valid = planted
-    fitted = models.fit_watched_trees(train, valid, rounds=3, patience=1)
+    fitted = models.fit_watched_trees(train, valid, rounds=5, patience=2, settings=SMALL)
     labelled = valid.withColumn("label", models.binary_label(F.col("label")))
     (row,) = pooled_auc(models.score(fitted.model, labelled)).collect()
-    assert row.auc == pytest.approx(fitted.valid_auc)
-    assert 1 <= fitted.trials[0]["rounds"] <= 3
+    assert row.auc == pytest.approx(fitted.valid_auc) and row.auc > 0.6
+    found = {r["round"]: r["auc"] for r in fitted.trials[0]["curve"] if r["held_out"]}
+    assert fitted.valid_auc == max(found.values()) == found[fitted.trials[0]["rounds"]]
+
+
+@pytest.mark.parametrize("patience", [1, 3])
+def test_growing_stops_when_patience_runs_out(planted, patience):
+    train, valid = planted
+    trial = models.fit_watched_trees(train, valid, rounds=40, patience=patience, settings=SMALL).trials[0]
+    held = [r["auc"] for r in trial["curve"] if r["held_out"]]
+    assert len(held) == trial["grown"] <= trial["rounds"] + patience < 40
+    assert held.index(max(held)) + 1 == trial["rounds"]
+    # Nothing within patience of any earlier best was left out.
+    assert all(max(held[:i]) < max(held[: i + patience]) for i in range(1, trial["rounds"]))
+
+
+def test_blocks_grow_the_same_trees(spark, planted):
+    """Going on from stored margins gives what one block gives."""
+    train, valid = planted
+    stages, ready = models._ready(
+        models.split_table(train, valid), COLUMNS, F.when(F.col(models.IS_VALID), 0).otherwise(-1)
+    )
+    curves = []
+    for block in (4, 1, 3):
+        grown = boosting.grow_all(ready, 1, replace(SMALL, subsample=1.0), rounds=4, block=block)
+        model = boosting.scoring_model(stages, grown, 4)
+        curves.append(sorted((r["round"], r["held_out"], round(r["auc"], 9)) for r in grown.curve))
+        rows = models.score(model, valid).select("User_id", "score").collect()
+        curves[-1].append({r.User_id: round(r.score, 9) for r in rows})
+    assert curves[0] == curves[1] == curves[2]
+
+
+def test_blocks_leave_no_tables_behind(spark, planted, tmp_path):
+    train, valid = planted
+    before = set(session._written[spark.sparkContext.applicationId])
+    models.fit_watched_trees(train, valid, rounds=3, patience=3, settings=SMALL)
+    assert set(session._written[spark.sparkContext.applicationId]) == before
 
 
-def test_early_stopping_goes_on_past_small_gains(planted):
-    """With a small step every gain is small; more than one tree is needed."""
+def test_grown_model_is_stored_and_read(planted, tmp_path):
     train, valid = planted
-    fitted = models.fit_watched_trees(train, valid, rounds=8)
-    assert fitted.trials[0]["rounds"] == 8
+    fitted = models.fit_watched_trees(train, valid, rounds=3, patience=3, settings=SMALL)
+    found = scores(fitted, valid)
+    tables.save_model(fitted.model, str(tmp_path / "grown"))
+    fitted.model = tables.load_model(str(tmp_path / "grown"))
+    assert scores(fitted, valid) == found
 
 
-def test_the_round_of_least_loss_is_kept():
-    losses = [0.9, 0.7, 0.8, 0.6, 0.65, 0.7, 0.75, 0.1]
-    assert models.best_round(losses, 3) == 4
-    assert models.best_round(losses, 300) == 8
-    assert models.best_round(losses, 1) == 2
-    assert models.best_round([0.5], 300) == 1
+def test_best_of():
+    nan = float("nan")
+    assert boosting.best_of([0.5, 0.7, 0.7, 0.6]) == 2
+    assert boosting.best_of([nan, 0.1]) == 2 and boosting.best_of([nan, nan]) == 1
+
+
+def test_kfold_curve(spark, planted):
+    """Every row is held out once; means and deviations are those of the folds."""
+    train, _ = planted
+    grown = models.kfold_rounds(train, folds=4, rounds=3)
+    rows = models.kfold_curve(grown, spark).collect()
+    assert [r["round"] for r in rows] == [1, 2, 3] and all(r["folds"] == 4 for r in rows)
+    for r in rows:
+        for held, name in ((True, "test"), (False, "train")):
+            own = [c["auc"] for c in grown.curve if c["round"] == r["round"] and c["held_out"] == held]
+            assert r[f"{name}_auc_mean"] == pytest.approx(np.mean(own)) and r[f"{name}_auc_std"] == pytest.approx(np.std(own))
+        sides = [c for c in grown.curve if c["round"] == r["round"]]
+        assert sum(c["n_pos"] + c["n_neg"] for c in sides if c["held_out"]) == 600
+        assert sum(c["n_pos"] + c["n_neg"] for c in sides if not c["held_out"]) == 1800
+
+
+def test_unreceived_rows_are_left_out(planted):
+    train, valid = planted
+    both = models.split_table(train, valid, drop_unreceived=True)
+    assert both.count() == train.where("label <> -1").count() + valid.where("label <> -1").count() < 1200
+    trial = models.fit_watched_trees(train, valid, rounds=1, patience=1, settings=SMALL, drop_unreceived=True).trials[0]
+    assert sum(r["n_pos"] + r["n_neg"] for r in trial["curve"]) == both.count()
 
 
 def test_default_rounds():
@@ -90,5 +155,5 @@ def test_kfold_report(planted):
     train, _ = planted
     fitted, report = models.kfold_report(train, folds=3, rounds=2)
     found = {r.metric: r.value for r in report.collect()}
-    assert set(found) == {"train_accuracy", "train_auc", "fold_auc"}
-    assert all(0.5 < v <= 1 for v in found.values())
+    assert set(found) == {"train_accuracy", "train_auc", "fold_auc", "fold_auc_std"}
+    assert all(0.5 < v <= 1 for k, v in found.items() if k != "fold_auc_std")

@@ -1,11 +1,14 @@
 """Random tables against brute force, and hot-key plans against ordinary ones."""
 
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tests.helpers import log_of, random_rows, rows_of
+from tests.helpers import log_of, plan_of, random_rows, rows_of
+from voucherlens import session
 from voucherlens.columns import (
     COUPON_FEATURES, MERCHANT_FEATURES, PAIR_FEATURES, RECEIPT_FEATURES, RECEIVED, USER_FEATURES,
 )
@@ -14,7 +17,9 @@ from voucherlens.operators.hot_keys import HotKeys, HotRule, attach, find_hot_ke
 from voucherlens.operators.ranking import auc, pooled_auc, quantiles
 from voucherlens.operators.receipts import receipt_features
 from voucherlens.operators.scaling import fit_standard, min_max, standardise
+from voucherlens.operators.summary import describe
 from voucherlens.plans.datasets import FeatureOptions, assemble, attach_receipts, copied_out
+from voucherlens.session import discard, release, written
 
 SPLIT = HotRule(min_rows=15)
 
@@ -131,7 +136,7 @@ def brute_auc(rows):
     return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
 
 
-@pytest.mark.parametrize("kind", ["ties", "dense", "tiny", "wide", "constant"])
+@pytest.mark.parametrize("kind", ["ties", "dense", "tiny", "wide", "constant", "margins", "powers", "extreme"])
 def test_auc_against_pair_counting(spark, kind):
     rng = np.random.default_rng(8)
     scores = {
@@ -140,6 +145,10 @@ def test_auc_against_pair_counting(spark, kind):
         "tiny": rng.random(300) * 1e-14,
         "wide": rng.normal(0, 40, 300),
         "constant": np.full(300, 0.25),
+        "margins": rng.normal(0, 1, 300) * 10.0 ** rng.integers(-30, 30, 300),
+        # Just below, at and above powers of two, of both signs.
+        "powers": np.nextafter(2.0 ** rng.integers(-60, 60, 300), rng.choice([-np.inf, 0, np.inf], 300)) * rng.choice([-1, 1], 300),
+        "extreme": rng.choice([0.0, -0.0, np.inf, -np.inf, 5e-324, -5e-324, 1.7e308, -1.7e308, 2.2e-308, 1e-310, 1.0], 300),
     }[kind]
     groups = rng.choice(["a", "b", "c"], 300, p=[0.8, 0.15, 0.05])
     labels = rng.integers(0, 2, 300)
@@ -157,6 +166,60 @@ def test_auc_of_nothing(spark):
     assert auc(df, ["g"]).collect() == [] and pooled_auc(df.where("false")).collect() == []
 
 
+def test_auc_leaves_out_what_has_no_score_or_class(spark):
+    nan = float("nan")
+    rows = [(1, 0.9), (0, 0.2), (0, 0.95), (1, 0.3)]
+    odd = [(1, nan), (0, None), (None, 0.5), (-1, 0.99), (2, 0.1)]
+    df = spark.createDataFrame(rows + odd, "label int, score double")
+    (found,) = pooled_auc(df).collect()
+    assert (found.auc, found.n_pos, found.n_neg) == (0.5, 2, 2)
+    assert pooled_auc(spark.createDataFrame(odd, "label int, score double")).collect() == []
+
+
+def test_many_columns_in_one_descent(spark):
+    rng = np.random.default_rng(12)
+    columns = {f"v{i}": rng.normal(0, 10.0 ** rng.integers(-5, 5), 97) for i in range(7)}
+    columns["gaps"] = np.where(rng.random(97) < 0.4, np.nan, rng.integers(-3, 3, 97))
+    rows = [tuple(None if k % 5 == 0 and name == "v0" else float(v[k]) for name, v in columns.items()) + (None,) for k in range(97)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*columns, "none"]))
+    found = {r.column: r for r in describe(df, [*columns, "none"]).collect()}
+    assert found["none"].n == 0 and found["none"].p50 is None
+    for name, values in columns.items():
+        known = np.array([v for k, v in enumerate(values) if not np.isnan(v) and not (name == "v0" and k % 5 == 0)])
+        row = found[name]
+        assert row.n == len(known) and (row.min, row.max) == (known.min(), known.max())
+        assert (row.mean, row.std) == (pytest.approx(known.mean()), pytest.approx(known.std(ddof=1)))
+        assert [row.p25, row.p50, row.p75] == pytest.approx(np.quantile(known, [0.25, 0.5, 0.75]), abs=1e-18)
+
+
+def test_describe_reads_its_table_twice_whatever_the_columns(spark, tmp_path):
+    columns = [f"v{i}" for i in range(9)]
+    spark.range(20).select(*[(F.col("id") * i).alias(c) for i, c in enumerate(columns)]).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    plan = plan_of(stored.select(*[F.col(c) for c in columns]))
+    assert plan.count("Scan parquet") == 1
+    # What is left of the table in the answer is its written counts of distinct values.
+    answer = plan_of(describe(stored, columns))
+    assert str(tmp_path / "t") not in answer and answer.count("Scan parquet") <= 1
+
+
+def test_written_tables_go_when_they_are_released(spark):
+    kept = written(spark.range(3), "kept")
+    gone = written(spark.range(4), "gone")
+    where = gone.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert Path(where).exists()
+    discard(gone)
+    assert not Path(where).exists() and kept.count() == 3
+    other = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    held = session._written[spark.sparkContext.applicationId]
+    mine, held[:] = [p for p in held if p in other or other.endswith(p)], [p for p in held if not other.endswith(p)]
+    assert len(mine) == 1
+    rest, session._written[spark.sparkContext.applicationId] = list(held), mine
+    release(spark)  # only what is named goes
+    session._written[spark.sparkContext.applicationId] = rest
+    assert not Path(other).exists()
+
+
 @pytest.mark.parametrize("kind", ["uniform", "skewed", "equal", "integers"])
 def test_quantiles_against_numpy(spark, kind):
     rng = np.random.default_rng(9)

@@ -9,7 +9,7 @@ from checks.compare import differences, duck
 ORACLE = entry.oracle_sql()
 # Model queries have no twin; tests/test_models.py covers them.
 MODELS = {"logistic_grid", "gbt_scores", "gbt_early_stop", "gbt_importances", "kfold_report",
-          "submission"}
+          "submission", "kfold_curve"}
 
 
 def test_only_models_lack_a_twin():

@@ -1,11 +1,11 @@
 """Exact order statistics for groups of any size: AUC and quantiles.
 
-Both avoid sorting a whole group in one task. A score is cut into digits of
-``DIGIT_BITS`` binary places; scaling by a power of two and taking the floor
-are exact for doubles, so the digits keep the order and equal scores share all
-of them. Sums over digits are then compared only among at most
-``2 ** DIGIT_BITS`` siblings of one node, and values that agree in both digits
-lie within ``2 ** -40`` of each other.
+Both avoid sorting a whole group in one task. A double of any size or sign is cut
+into digits that keep its order: sign, exponent and ``TOP_BITS`` bits of the
+mantissa, then ``NEXT_BITS`` more. Scaling by a power of two and taking the floor
+are exact for doubles, so equal values share all digits. Sums over digits are
+then compared only among the siblings of one node, whose number is bounded, and
+values that agree in both digits differ in the last 21 bits of the mantissa only.
 """
 
 from __future__ import annotations
@@ -15,17 +15,25 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from voucherlens.columns import COUPON, LABEL
 from voucherlens.session import written
 
-DIGIT_BITS = 20
+TOP_BITS, NEXT_BITS = 10, 21
+#: Exponents are kept within these, so that their power of two is a double.
+LEAST_EXPONENT, MOST_EXPONENT = -1000.0, 1023.0
 DIGITS = ["digit_1", "digit_2"]
 
 
 def _with_digits(df: DataFrame, value: Column) -> DataFrame:
-    """Two leading digits of ``value`` in base ``2 ** DIGIT_BITS``."""
-    df = df.withColumn("rest", value)
-    for digit in DIGITS:
-        scaled = F.col("rest") * float(1 << DIGIT_BITS)
-        df = df.withColumn(digit, F.floor(scaled)).withColumn("rest", scaled - F.floor(scaled))
-    return df.drop("rest")
+    """Two leading digits of ``value``, which is neither NULL nor NaN."""
+    size = F.abs(value)
+    # The logarithm may miss by one near a power of two; it does not fall as the value grows.
+    power = F.floor(F.greatest(F.least(F.log2(F.when(size > 0, size)), F.lit(MOST_EXPONENT)), F.lit(LEAST_EXPONENT)))
+    power = F.coalesce(power, F.lit(0))
+    scaled = value * F.pow(F.lit(2.0), TOP_BITS - F.col("power"))
+    most = float(4 << TOP_BITS)  # reached by infinities only
+    df = df.withColumn("power", power).withColumn("rest", F.greatest(F.least(scaled, F.lit(most)), F.lit(-most)))
+    top = F.floor("rest")
+    side = F.signum(value).cast("bigint") * (F.col("power") + 2000) * (8 << TOP_BITS)
+    df = df.withColumn("digit_1", side + top)
+    return df.withColumn("digit_2", F.floor((F.col("rest") - top) * float(1 << NEXT_BITS))).drop("power", "rest")
 
 
 def _before(keys: list[str], order: str) -> Window:
@@ -44,13 +52,15 @@ def auc(
     Equal to counting, over all pairs of a positive and a negative row, those
     ranked rightly, with ties as one half. Rows with equal score are combined
     first; pairs are then counted at the digit where their scores first
-    differ, from the last digit to the first. Scores are meant to lie near
-    [0, 1]; others stay exact, with more siblings at the first digit.
+    differ, from the last digit to the first. Scores may be any doubles, raw
+    margins as well as probabilities. Rows without a score (NULL or NaN) and
+    rows whose label is neither 0 nor 1 are left out.
     """
-    positive = F.col(label) == 1
-    counts = scored.groupBy(*group, F.col(score).cast("double").alias("score")).agg(
-        F.count(F.when(positive, 1)).alias("n_pos"),
-        F.count(F.when(~positive, 1)).alias("n_neg"),
+    value = F.col(score).cast("double")
+    known = scored.where(value.isNotNull() & ~F.isnan(value) & F.col(label).isin(0, 1))
+    counts = known.groupBy(*group, value.alias("score")).agg(
+        F.count(F.when(F.col(label) == 1, 1)).alias("n_pos"),
+        F.count(F.when(F.col(label) == 0, 1)).alias("n_neg"),
     )
     # Pair counts are doubles: products of row counts can pass the long range.
     n_pos, n_neg = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
@@ -89,75 +99,47 @@ def pooled_auc(scored: DataFrame, *, score: str = "score", label: str = LABEL) -
     return auc(scored, [], score=score, label=label)
 
 
-def quantiles(
-    df: DataFrame,
-    column: str,
-    shares: list[float],
-    *,
-    bounds: tuple[float, float, int] | None = None,
-) -> DataFrame:
-    """Exact, linearly interpolated quantiles of one column over all rows.
+def column_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """Exact, linearly interpolated quantiles of several columns: (column, share, value).
 
-    Descends from the first digit to the value: at each step the node that
-    holds the wanted rank is kept, so the broadcast side has at most two rows
-    per quantile. The distinct values with their counts are written once and
-    read by all three steps. ``bounds`` are minimum, maximum and count, where
-    they are known already.
+    All columns go down from the first digit to the value together: at each step
+    the nodes that hold the wanted ranks are kept, so the broadcast side has at
+    most two rows for each column and quantile. The table is read once; distinct
+    values with their counts are written and read by all steps. NULL and NaN are
+    left out; a column without values has none.
     """
-    value = F.col(column).cast("double")
-    low, high, rows = bounds or df.agg(F.min(value), F.max(value), F.count(value)).first()
-    if not rows:
-        return df.sparkSession.createDataFrame([(float(q), None) for q in shares], "share double, value double")
-    ranks = sorted({r for q in shares for r in _ranks(q, rows)})
-    # Subtracting and dividing by constants keep the order of doubles.
-    unit = (F.col("value") - low) / ((high - low) or 1.0)
-    counts = df.where(value.isNotNull()).groupBy(value.alias("value")).agg(
-        F.count("*").alias("n")
-    )
-    nodes = _with_digits(written(counts, "value-counts"), unit)
     spark = df.sparkSession
-    wanted = spark.createDataFrame([(r,) for r in ranks], "rank bigint").withColumn(
-        "before", F.lit(0).cast("bigint")
-    )
-    path: list[str] = []
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+    values = df.select(F.explode(F.array(*pairs)).alias("pair")).select("pair.*")
+    values = values.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    counts = values.groupBy("column", "value").agg(F.count("*").alias("n"))
+    nodes = written(_with_digits(counts, F.col("value")), "value-counts")
+    rows = {r["column"]: r["n"] for r in nodes.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+    weights = [(c, float(q), r, w) for c, n in rows.items() for q in shares for r, w in _ranks(q, n).items()]
+    ranks = sorted({(c, r, 0) for c, _, r, _ in weights})
+    wanted = spark.createDataFrame(ranks, "column string, rank bigint, before bigint")
+    path = ["column"]
     for step in [*DIGITS, "value"]:
-        inside = (
-            nodes.join(F.broadcast(wanted), path) if path else _with_each(nodes, ranks)
-        )
-        sums = inside.groupBy("rank", "before", *path, step).agg(F.sum("n").alias("n"))
-        lower = F.coalesce(F.sum("n").over(_before(["rank"], step)), F.lit(0))
+        inside = nodes.join(F.broadcast(wanted.select(*path).distinct()), path)
+        sums = inside.groupBy(*path, step).agg(F.sum("n").alias("n")).join(F.broadcast(wanted), path)
+        lower = F.coalesce(F.sum("n").over(_before(["column", "rank"], step)), F.lit(0))
         start = F.col("before") + lower
-        wanted = (
-            sums.withColumn("start", start)
-            .where((F.col("start") <= F.col("rank")) & (F.col("rank") < F.col("start") + F.col("n")))
-            .select("rank", F.col("start").alias("before"), *path, step)
-        )
+        found = sums.withColumn("start", start).where("start <= rank AND rank < start + n")
+        wanted = written(found.select(*path, "rank", F.col("start").alias("before"), step), "wanted-ranks")
         path.append(step)
-    found = wanted.select("rank", "value")
-    rows_of = spark.createDataFrame(
-        [
-            (float(q), r, w)
-            for q in shares
-            for r, w in _ranks(q, rows).items()
-        ],
-        "share double, rank bigint, weight double",
-    )
+    weighted = spark.createDataFrame(weights, "column string, share double, rank bigint, weight double")
     return (
-        found.join(F.broadcast(rows_of), "rank")
-        .groupBy("share")
+        wanted.select("column", "rank", "value")
+        .join(F.broadcast(weighted), ["column", "rank"])
+        .groupBy("column", "share")
         .agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
     )
 
 
-def _with_each(nodes: DataFrame, ranks: list[int]) -> DataFrame:
-    """First-digit sums paired with every wanted rank (a handful of constants)."""
-    sums = nodes.groupBy("digit_1").agg(F.sum("n").alias("n"))
-    return sums.select(
-        "digit_1",
-        "n",
-        F.lit(0).cast("bigint").alias("before"),
-        F.explode(F.array(*[F.lit(r).cast("bigint") for r in ranks])).alias("rank"),
-    )
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """Exact quantiles of one column over all rows: (share, value), NULL without values."""
+    all_ = df.sparkSession.createDataFrame([(float(q),) for q in shares], "share double")
+    return all_.join(column_quantiles(df, [column], shares).drop("column"), "share", "left")
 
 
 def _ranks(share: float, rows: int) -> dict[int, float]:

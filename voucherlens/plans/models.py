@@ -8,10 +8,9 @@ from multiprocessing.pool import ThreadPool
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from voucherlens.columns import (
@@ -21,6 +20,8 @@ from voucherlens.functions.labels import binary_label
 from voucherlens.operators.ranking import auc, mean_coupon_auc, pooled_auc
 from voucherlens.operators.scaling import fit_standard, standard_sql
 from voucherlens.operators.summary import accuracy
+from voucherlens.plans import boosting
+from voucherlens.plans.boosting import Grown, TreeSettings
 
 IS_VALID = "is_valid"
 SCALED = "z_"
@@ -33,7 +34,7 @@ class Fitted:
 
     model: PipelineModel
     valid_auc: float
-    trials: list[dict[str, float]]
+    trials: list[dict]
 
 
 def split_table(
@@ -62,6 +63,8 @@ def _labels_for(df: DataFrame) -> DataFrame:
 def score(model: PipelineModel, table: DataFrame) -> DataFrame:
     """``table`` with ``score``, the probability of redemption, and ``prediction``."""
     scored = model.transform(table)
+    if "score" in scored.columns:  # trees grown in blocks give it themselves
+        return scored.select(*table.columns, "score", "prediction")
     return scored.withColumn("score", vector_to_array("probability")[1]).select(
         *table.columns, "score", "prediction"
     )
@@ -100,6 +103,7 @@ def logistic_grid(
     l1_ratios: list[float] = LINEAR_L1_RATIOS,
     max_iter: int = LINEAR_MAX_ITER,
     columns: list[str] | None = None,
+    drop_unreceived: bool = False,
 ) -> Fitted:
     """Elastic-net logistic regression over a grid, judged on the fixed split.
 
@@ -107,7 +111,7 @@ def logistic_grid(
     the best one is fitted again on both. The scaling is fitted anew each time
     and is part of the saved pipeline.
     """
-    both = split_table(train, valid)
+    both = split_table(train, valid, drop_unreceived=drop_unreceived)
     names = columns or predictors(train.columns)
 
     def prepared(table: DataFrame) -> tuple[list, DataFrame]:
@@ -142,7 +146,7 @@ def logistic_grid(
         }
         for params, value in zip(grid, aucs)
     ]
-    best = max(trials, key=lambda t: t["auc"])
+    best = trials[boosting.best_of([t["auc"] for t in trials]) - 1]
     stages, _ = prepared(both)
     final = Pipeline(
         stages=[*stages, linear(regParam=best["alpha"], elasticNetParam=best["l1_ratio"])]
@@ -155,15 +159,12 @@ ROUNDS = {"deep": 800, "tuned": 300, "watched": 3000}
 PATIENCE = 300
 
 
-def best_round(losses: list[float], patience: int) -> int:
-    """Rounds up to the least loss, looking on for ``patience`` rounds after each best."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
+# Depth, step, sampling and leaf size of each setting.
+TREES = {
+    "deep": TreeSettings(max_depth=6, step=0.1, subsample=0.8, features="sqrt", min_rows=3),
+    "tuned": TreeSettings(max_depth=5, step=0.1, subsample=0.8, features="0.8", min_rows=2),
+    "watched": TreeSettings(max_depth=5, step=0.01, subsample=0.7, features="0.7", min_rows=1),
+}
 
 
 def boosted_trees(kind: str = "tuned", *, rounds: int | None = None) -> GBTClassifier:
@@ -173,24 +174,12 @@ def boosted_trees(kind: str = "tuned", *, rounds: int | None = None) -> GBTClass
     ``watched`` those of the early-stopping one. Every round runs a few jobs;
     ``rounds`` sets another number than that of the setting.
     """
-    # Depth, step, sampling and leaf size of each setting.
-    settings = {
-        "deep": dict(
-            maxDepth=6, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="sqrt",
-            minInstancesPerNode=3,
-        ),
-        "tuned": dict(
-            maxDepth=5, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8",
-            minInstancesPerNode=2,
-        ),
-        "watched": dict(
-            maxDepth=5, stepSize=0.01, subsamplingRate=0.7, featureSubsetStrategy="0.7",
-            minInstancesPerNode=1,
-        ),
-    }
+    tree = TREES[kind]
     return GBTClassifier(
-        labelCol=LABEL, maxIter=ROUNDS[kind] if rounds is None else rounds, seed=MODEL_SEED, **settings[kind]
-    )
+        labelCol=LABEL, maxIter=ROUNDS[kind] if rounds is None else rounds, seed=MODEL_SEED,
+        maxDepth=tree.max_depth, stepSize=tree.step, subsamplingRate=tree.subsample,
+        featureSubsetStrategy=tree.features, minInstancesPerNode=tree.min_rows,
+    )
 
 
 def fit_trees(
@@ -200,9 +189,10 @@ def fit_trees(
     kind: str = "tuned",
     rounds: int | None = None,
     columns: list[str] | None = None,
+    drop_unreceived: bool = False,
 ) -> Fitted:
     """Boosted trees judged on the fixed split, then fitted on both tables."""
-    both = split_table(train, valid)
+    both = split_table(train, valid, drop_unreceived=drop_unreceived)
     stages = [_assembler(columns or predictors(train.columns))]
     ready = _labels_for(PipelineModel(stages).transform(both)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -217,68 +207,88 @@ def fit_trees(
     )
 
 
+def _ready(table: DataFrame, columns: list[str], part) -> tuple[list, DataFrame]:
+    """The assembler, and features, label and held-out part of every row, written once."""
+    stages = [_assembler(columns)]
+    featured = PipelineModel(stages).transform(table)
+    return stages, featured.select("features", F.col(LABEL).cast("double").alias(LABEL), part.cast("int").alias(boosting.PART))
+
+
 def fit_watched_trees(
     train: DataFrame,
     valid: DataFrame,
     *,
     rounds: int | None = None,
     patience: int = PATIENCE,
+    settings: TreeSettings | None = None,
     columns: list[str] | None = None,
+    drop_unreceived: bool = False,
 ) -> Fitted:
-    """Boosting kept up to the round of least loss on ``valid``.
+    """Trees grown until the AUC on ``valid`` has not risen for ``patience`` rounds.
 
-    All rounds are trained, since Spark's own stop has no patience. Rounds build
-    on each other and their seeds on their number, so a fit of fewer rounds is
-    the beginning of a fit of more.
+    The model keeps the trees up to the best round. ``trials`` holds the best
+    round, the rounds grown and the AUC of both tables after each of them.
     """
-    both = split_table(train, valid)
-    stages = [_assembler(columns or predictors(train.columns))]
-    ready = _labels_for(PipelineModel(stages).transform(both)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        estimator = boosted_trees("watched", rounds=rounds)
-        seen, held_out = ready.where(~F.col(IS_VALID)), ready.where(IS_VALID)
-        model = estimator.fit(seen)
-        kept = best_round(model.evaluateEachIteration(held_out), patience)
-        if kept < model.getNumTrees:
-            model = estimator.setMaxIter(kept).fit(seen)
-        value = _grid_auc([model], ready.where(IS_VALID))[0]
-    finally:
-        ready.unpersist()
-    return Fitted(
-        PipelineModel([*stages, model]), value, [{"rounds": model.getNumTrees, "auc": value}]
+    settings = settings or TREES["watched"]
+    both = split_table(train, valid, drop_unreceived=drop_unreceived)
+    stages, ready = _ready(both, columns or predictors(train.columns), F.when(F.col(IS_VALID), 0).otherwise(-1))
+    grown, best = boosting.grow_watched(
+        ready, settings, rounds=ROUNDS["watched"] if rounds is None else rounds, patience=patience
     )
+    curve = sorted(grown.curve, key=lambda r: (r["round"], r["held_out"]))
+    trial = {"rounds": best, "grown": grown.rounds, "auc": grown.held_out()[best - 1], "curve": curve}
+    return Fitted(boosting.scoring_model(stages, grown, best), trial["auc"], [trial])
+
+
+def fold_of(rows: DataFrame, folds: int, seed: int = MODEL_SEED):
+    """The fold of a row by a hash of all its columns: the same however rows are dealt."""
+    return F.pmod(F.xxhash64(*rows.columns, F.lit(seed)), F.lit(folds))
+
+
+def kfold_curve(grown: Grown, spark) -> DataFrame:
+    """Mean and deviation over folds of the AUC after every round, in and out of sample."""
+    schema = "round int, model int, held_out boolean, auc double"
+    rows = spark.createDataFrame([(r["round"], r["model"], r["held_out"], r["auc"]) for r in grown.curve], schema)
+    side = lambda held: F.when(F.col("held_out") == held, F.col("auc"))
+    return rows.groupBy("round").agg(
+        F.count(side(True)).alias("folds"),
+        F.avg(side(False)).alias("train_auc_mean"), F.stddev_pop(side(False)).alias("train_auc_std"),
+        F.avg(side(True)).alias("test_auc_mean"), F.stddev_pop(side(True)).alias("test_auc_std"),
+    ).orderBy("round")
+
+
+def kfold_rounds(
+    train: DataFrame, *, folds: int = 3, rounds: int | None = None, fold=None, columns: list[str] | None = None
+) -> Grown:
+    """Boosted trees of all folds, grown side by side, with their AUC after every round.
+
+    ``fold`` is a column that deals the rows; a hash of the row does if it is not given.
+    """
+    table = train.withColumn(LABEL, binary_label(F.col(LABEL)))
+    part = fold_of(table, folds) if fold is None else fold
+    _, ready = _ready(table, columns or predictors(train.columns), part)
+    return boosting.grow_all(ready, folds, TREES["tuned"], rounds=ROUNDS["tuned"] if rounds is None else rounds)
 
 
 def kfold_report(
     train: DataFrame, *, folds: int = 3, rounds: int | None = None, columns: list[str] | None = None
 ) -> tuple[Fitted, DataFrame]:
-    """Mean AUC over folds, then a fit on everything with its accuracy and AUC."""
-    table = train.withColumn(LABEL, binary_label(F.col(LABEL))).withColumn(IS_VALID, F.lit(False))
-    stages = [_assembler(columns or predictors(train.columns))]
-    ready = _labels_for(PipelineModel(stages).transform(table)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        evaluator = BinaryClassificationEvaluator(labelCol=LABEL, numBins=0)
-        validator = CrossValidator(
-            estimator=boosted_trees("tuned", rounds=rounds),
-            estimatorParamMaps=[{}],
-            evaluator=evaluator,
-            numFolds=folds,
-            seed=MODEL_SEED,
-        ).fit(ready)
-    finally:
-        ready.unpersist()
-    model = PipelineModel([*stages, validator.bestModel])
-    mean_auc = validator.avgMetrics[0]
+    """Held-out AUC over folds after the last round, then a fit on everything with its accuracy and AUC."""
+    grown = kfold_rounds(train, folds=folds, rounds=rounds, columns=columns)
+    last = kfold_curve(grown, train.sparkSession).where(F.col("round") == grown.rounds).first()
+    mean_auc = last["test_auc_mean"]
+    table = train.withColumn(LABEL, binary_label(F.col(LABEL)))
+    # No row is held out from this one.
+    stages, ready = _ready(table, columns or predictors(train.columns), F.lit(-1))
+    whole = boosting.grow_all(ready, 1, TREES["tuned"], rounds=grown.rounds)
+    model = boosting.scoring_model(stages, whole, whole.rounds)
     scored = score(model, table)
+    values = [("fold_auc", float(mean_auc)), ("fold_auc_std", float(last["test_auc_std"]))]
     report = (
         accuracy(scored)
         .select(F.lit("train_accuracy").alias("metric"), F.col("accuracy").alias("value"))
         .unionByName(pooled_auc(scored).select(F.lit("train_auc").alias("metric"), F.col("auc").alias("value")))
-        .unionByName(
-            train.sparkSession.createDataFrame(
-                [("fold_auc", float(mean_auc))], "metric string, value double"
-            )
-        )
+        .unionByName(train.sparkSession.createDataFrame(values, "metric string, value double"))
     )
     return Fitted(model, mean_auc, [{"folds": folds, "auc": mean_auc}]), report
 

@@ -72,6 +72,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = hadoop.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table that :func:`written` made and that nothing reads any more."""
+    spark = table.sparkSession
+    known = _written.get(spark.sparkContext.applicationId, [])
+    folders = {file.rsplit("/", 1)[0].split(":", 1)[-1] for file in table.inputFiles()}
+    paths = [p for p in known if any(f.endswith(p.split(":", 1)[-1].lstrip("/")) for f in folders)]
+    _delete(spark, paths)
+    known[:] = [p for p in known if p not in paths]
+
+
 def release(spark: SparkSession) -> None:
     """Remove the tables that :func:`written` made in this application.
 
@@ -80,10 +97,8 @@ def release(spark: SparkSession) -> None:
     paths = _written.pop(spark.sparkContext.applicationId, [])
     if not paths:
         return
+    _delete(spark, paths)
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    for path in paths:
-        where = hadoop.Path(path)
-        where.getFileSystem(conf).delete(where, True)
     # The run folder goes too, unless something else lies in it.
     top = hadoop.Path(run_dir(spark))
     system = top.getFileSystem(conf)

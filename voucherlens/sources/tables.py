@@ -56,6 +56,12 @@ def write_submission(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").option("header", False).csv(path)
 
 
+def read_submission(spark: SparkSession, path: str) -> DataFrame:
+    """A submission again; days stay text, a row that does not fit fails the read."""
+    schema = f"{USER} bigint, {COUPON} string, {RECEIVED} string, score double"
+    return spark.read.schema(schema).option("header", False).option("mode", "FAILFAST").csv(path)
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
