@@ -67,6 +67,10 @@ PREDICTORS = [
 def oracle_sql() -> dict[str, str]:
     queries = {
         "log_typed": f"WITH {LOG} SELECT {O.RAW_TRAIN} FROM log",
+        "rejects": (
+            f"WITH {LOG} SELECT CASE User_id % 50 WHEN 7 THEN 'Merchant_id,Discount_rate' WHEN 8 THEN 'Distance'"
+            " WHEN 9 THEN 'Date_received' ELSE 'accepted' END AS reason, COUNT(*) AS n FROM log GROUP BY 1"
+        ),
         "coupon_features": f"WITH {LOG} SELECT {O.RAW_TRAIN}, {O.coupon_list()} FROM train",
         "label_15d": (
             f"WITH {LOG} SELECT User_id, received_text AS Date_received, bought_text AS Date,"
@@ -280,7 +284,14 @@ def oracle_sql() -> dict[str, str]:
             f"WITH {LOG}, f AS ({O.history_window(number)}) SELECT {O.RAW_TRAIN} FROM f"
         )
         queries[f"dataset{number}_features"] = O.dataset(number)
-    return queries
+    same = {
+        "csv_round_trip": "log_typed", "receipt_features_split": "receipt_features", "receipt_features_bucketed": "receipt_features",
+        "dataset2_features_split": "dataset2_features", "user_features_daily": "user_features",
+        "user_merchant_features_daily": "user_merchant_features",
+        "dataset1_features_earlier_daily": "dataset1_features_earlier",
+        **{f"dataset{n}_features_daily": f"dataset{n}_features" for n in (1, 2, 3)},
+    }
+    return {**queries, **{name: queries[twin] for name, twin in same.items()}}
 
 
 def _user_coupon(source: str) -> str:

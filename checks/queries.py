@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from voucherlens.columns import (
-    BOUGHT, COUPON, DISTANCE, LABEL, MERCHANT, RECEIPT_FEATURES, RECEIVED, USER,
+    BOUGHT, COUPON, DISCOUNT, DISTANCE, LABEL, MERCHANT, RECEIPT_FEATURES, RECEIVED, USER,
     USER_COUPON_FEATURES, predictors,
 )
 from voucherlens.functions.coupon import (
@@ -17,14 +17,17 @@ from voucherlens.functions.coupon import (
 from voucherlens.functions.labels import binary_label, redemption_label
 from voucherlens.operators import history as hist
 from voucherlens.operators import ranking, receipts, scaling, summary
-from voucherlens.operators.windows import dataset_window, history_window
+from voucherlens.operators.hot_keys import HotRule
+from voucherlens.operators.windows import dataset_window, history_window, in_dataset_window, in_history_window
 from voucherlens.plans import datasets as plans
 from voucherlens.plans import models
 from voucherlens.plans.datasets import FeatureOptions
 from voucherlens.session import run_dir, written
 from voucherlens.sources import tables
 from voucherlens.sources.derived_log import raw_log, test_log, train_log
-from voucherlens.sources.log import typed_log
+from voucherlens.sources.log import (
+    TRAIN_SCHEMA, load_log, read_checked, read_train_log, store_checked, store_log, typed_log,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,6 +72,37 @@ def log_typed(spark: SparkSession, sf: str) -> DataFrame:
     return comparable(typed_log(raw_log(spark, sf)))
 
 
+def _raw_csv(raw: DataFrame) -> str:
+    path = f"{run_dir(raw.sparkSession)}/csv-{uuid.uuid4().hex}"
+    raw.select(*TRAIN_SCHEMA.fieldNames()).write.option("header", True).csv(path)
+    return path
+
+
+@query("csv_round_trip")
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The log written as CSV, read typed, stored as Parquet and read again."""
+    path = f"{run_dir(spark)}/log-{uuid.uuid4().hex}"
+    store_log(read_train_log(spark, _raw_csv(raw_log(spark, sf))), path)
+    return comparable(load_log(spark, path))
+
+
+def _damaged(raw: DataFrame) -> DataFrame:
+    """The raw log with text that does not fit in some users' rows."""
+    user = F.col(USER) % 50
+    damage = {DISCOUNT: (7, "20:x"), DISTANCE: (8, "far"), RECEIVED: (9, "20161340"), MERCHANT: (7, "m1")}
+    return raw.withColumns({c: F.when(user == k, text).otherwise(F.col(c).cast("string")) for c, (k, text) in damage.items()})
+
+
+@query("rejects")
+def rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a damaged CSV log by the reason they were set apart, and those accepted."""
+    base = f"{run_dir(spark)}/checked-{uuid.uuid4().hex}"
+    checked = read_checked(spark, _raw_csv(_damaged(raw_log(spark, sf))), TRAIN_SCHEMA)
+    counts = store_checked(checked, f"{base}/log", f"{base}/rejects")
+    good = load_log(spark, f"{base}/log").agg(F.count("*").alias("n")).select(F.lit("accepted").alias("reason"), "n")
+    return comparable(counts.unionByName(good))
+
+
 @query("coupon_features")
 def coupon_features(spark: SparkSession, sf: str) -> DataFrame:
     return comparable(plans.coupon_table(train_log(spark, sf)).drop(LABEL))
@@ -137,10 +171,10 @@ def _register_windows() -> None:
 
 
 def _dataset(
-    spark: SparkSession, sf: str, number: int, options: FeatureOptions = FeatureOptions()
+    spark: SparkSession, sf: str, number: int, options: FeatureOptions = FeatureOptions(), **more
 ) -> DataFrame:
     test = test_log(spark, sf) if number == 3 else None
-    return plans.build_dataset(train_log(spark, sf), number, test=test, options=options)
+    return plans.build_dataset(train_log(spark, sf), number, test=test, options=options, **more)
 
 
 _register_windows()
@@ -160,6 +194,38 @@ def _pairs(spark: SparkSession, sf: str, **options: bool) -> DataFrame:
     return written(hist.pair_history(history, **options), "pair-history")
 
 
+def _days(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored counts by day of the training log, in folders by day."""
+    path = f"{run_dir(spark)}/days-{uuid.uuid4().hex}"
+    tables.store_days(hist.daily_history(train_log(spark, sf)), path)
+    return tables.load_days(spark, path)
+
+
+def _register_daily() -> None:
+    for number in (1, 2, 3):
+        QUERIES[f"dataset{number}_features_daily"] = (
+            lambda spark, sf, n=number: comparable(_dataset(spark, sf, n, daily=_days(spark, sf)))
+        )
+
+
+_register_daily()
+
+
+@query("user_merchant_features_daily")
+def user_merchant_features_daily(spark: SparkSession, sf: str) -> DataFrame:
+    return comparable(hist.pair_features(hist.pair_history_of_days(_days(spark, sf), 2)))
+
+
+@query("user_features_daily")
+def user_features_daily(spark: SparkSession, sf: str) -> DataFrame:
+    return comparable(hist.user_features(written(hist.pair_history_of_days(_days(spark, sf), 2), "pair-history")))
+
+
+@query("dataset1_features_earlier_daily")
+def dataset1_features_earlier_daily(spark: SparkSession, sf: str) -> DataFrame:
+    return comparable(_dataset(spark, sf, 1, FeatureOptions.earlier(), daily=_days(spark, sf)))
+
+
 @query("user_features")
 def user_features(spark: SparkSession, sf: str) -> DataFrame:
     return comparable(hist.user_features(_pairs(spark, sf)))
@@ -213,6 +279,28 @@ def receipt_features(spark: SparkSession, sf: str) -> DataFrame:
     return comparable(receipts.receipt_features(_scored(spark, sf, 2)))
 
 
+#: Low enough that users, merchants, pairs and receipts of the test tables are split.
+SPLIT = HotRule(min_rows=8, share=1 / 1000)
+
+
+@query("receipt_features_split")
+def receipt_features_split(spark: SparkSession, sf: str) -> DataFrame:
+    return comparable(receipts.receipt_features(_scored(spark, sf, 2), rule=SPLIT))
+
+
+@query("dataset2_features_split")
+def dataset2_features_split(spark: SparkSession, sf: str) -> DataFrame:
+    return comparable(_dataset(spark, sf, 2, rule=SPLIT))
+
+
+@query("receipt_features_bucketed")
+def receipt_features_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """From receipts stored in buckets of the user and read again, without an exchange."""
+    name = f"receipts_{uuid.uuid4().hex}"
+    tables.store_buckets(_scored(spark, sf, 2), name, f"{run_dir(spark)}/{name}", [USER], 8)
+    return comparable(receipts.receipt_features(tables.load_buckets(spark, name), clustered=True))
+
+
 @query("receipt_gaps")
 def receipt_gaps(spark: SparkSession, sf: str) -> DataFrame:
     features = receipts.receipt_features(test_log(spark, sf))
@@ -288,19 +376,10 @@ def received_only(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("table_sizes")
 def table_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    train, test = train_log(spark, sf), test_log(spark, sf)
-    parts = [
-        summary.table_size(dataset_window(train, 1), "dataset1"),
-        summary.table_size(history_window(train, 1), "history1"),
-        summary.table_size(dataset_window(train, 2), "dataset2"),
-        summary.table_size(history_window(train, 2), "history2"),
-        summary.table_size(test, "dataset3"),
-        summary.table_size(history_window(train, 3), "history3"),
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return comparable(result)
+    parts = {f"dataset{n}": in_dataset_window(n) for n in (1, 2)}
+    parts |= {f"history{n}": in_history_window(n) for n in (1, 2, 3)}
+    sizes = summary.part_sizes(train_log(spark, sf), parts)
+    return comparable(sizes.unionByName(summary.table_size(test_log(spark, sf), "dataset3")))
 
 
 # --- labels, scores and metrics ----------------------------------------------
@@ -476,8 +555,9 @@ def kfold_rounds(spark: SparkSession, sf: str) -> DataFrame:
 def _submission(spark: SparkSession, sf: str, rounds: int) -> DataFrame:
     train, valid = _training_tables(spark, sf)
     fitted = models.fit_trees(train, valid, kind="tuned", rounds=rounds)
-    scored = written(models.score(fitted.model, _dataset(spark, sf, 3)).select(USER, COUPON, RECEIVED, "score"), "scores")
-    return tables.sorted_submission(scaling.min_max(scored, "score"))
+    scored = models.score(fitted.model, _dataset(spark, sf, 3)).select(USER, COUPON, RECEIVED, "score")
+    scored, bounds = scaling.written_with_range(scored, "score", "scores")
+    return tables.sorted_submission(scaling.min_max(scored, "score", bounds))
 
 
 @query("submission")

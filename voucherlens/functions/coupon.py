@@ -20,6 +20,13 @@ def is_spend_cut(discount: Column) -> Column:
     return F.coalesce(discount.contains(":").cast("int"), F.lit(0))
 
 
+def is_valid_discount(discount: Column) -> Column:
+    """Whether a discount is missing, a plain number, or whole numbers ``spend:cut`` with a spend."""
+    spend_cut = discount.rlike("^0*[1-9][0-9]*:[0-9]+$")
+    number = ~discount.contains(":") & discount.try_cast("double").isNotNull()
+    return F.coalesce(spend_cut | number, F.lit(True))
+
+
 def discount_rate(discount: Column) -> Column:
     """Price factor: 1 without coupon, 1 - cut/spend, or the plain rate."""
     spend = _spend_cut_part(discount, 1).try_cast("double")

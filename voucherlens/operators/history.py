@@ -12,32 +12,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voucherlens.columns import (
-    BOUGHT, COUPON, DISCOUNT, DISTANCE, MERCHANT, MERCHANT_FEATURES, PAIR_FEATURES, USER,
-    USER_COUPON_FEATURES, USER_FEATURES,
+    BOUGHT, COUPON, DISCOUNT, DISTANCE, HISTORY_WINDOWS, MERCHANT, MERCHANT_FEATURES, PAIR_FEATURES,
+    RECEIVED, USER, USER_COUPON_FEATURES, USER_FEATURES,
 )
 from voucherlens.functions.coupon import discount_rate
 from voucherlens.functions.labels import (
     days_to_purchase, is_bought, is_plain_purchase, is_received, is_redeemed, is_unused, ratio,
 )
+from voucherlens.operators.windows import unused_end
+
+HISTORY_DAY = "history_day"
 
 
 def _count_if(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 
 
-def pair_history(history: DataFrame, *, mean_discount: bool = False) -> DataFrame:
-    """Counts per (user, merchant) and per (user, merchant, redeemed distance).
-
-    ``is_pair`` tells the two row kinds apart. The second kind exists only
-    for redeemed rows with a known distance; the filter below moves under the
-    aggregate, so no other rows are grouped twice. Discount sums are kept only
-    when ``mean_discount`` features will be asked for.
-    """
+def _counted_rows(history: DataFrame, *more: Column, mean_discount: bool) -> DataFrame:
+    """What the counts of a history row need, and ``more``."""
     gap = F.when(is_redeemed(), days_to_purchase())
-    rate = F.when(is_redeemed(), discount_rate(F.col(DISCOUNT)))
-    optional_columns = [rate.alias("rate")] if mean_discount else []
-    optional_sums = [F.sum("rate").alias("rate_sum")] if mean_discount else []
-    rows = history.select(
+    rate = [F.when(is_redeemed(), discount_rate(F.col(DISCOUNT))).alias("rate")] if mean_discount else []
+    return history.select(
         USER,
         MERCHANT,
         F.when(is_redeemed(), F.col(DISTANCE)).alias("distance"),
@@ -46,13 +41,17 @@ def pair_history(history: DataFrame, *, mean_discount: bool = False) -> DataFram
         is_received().alias("received"),
         is_plain_purchase().alias("plain"),
         gap.alias("gap"),
-        *optional_columns,
+        *rate,
+        *more,
     )
+
+
+def _with_distances(rows: DataFrame, keys: list[str], *, mean_discount: bool) -> DataFrame:
+    """Counts per key and per key and redeemed distance, told apart by ``is_pair``."""
+    optional_sums = [F.sum("rate").alias("rate_sum")] if mean_discount else []
     is_pair = F.col("grouping_level") == 1
     return (
-        rows.groupingSets(
-            [[USER, MERCHANT], [USER, MERCHANT, "distance"]], USER, MERCHANT, "distance"
-        )
+        rows.groupingSets([keys, [*keys, "distance"]], *keys, "distance")
         .agg(
             F.grouping_id().alias("grouping_level"),
             F.count("*").alias("n_rows"),
@@ -71,6 +70,47 @@ def pair_history(history: DataFrame, *, mean_discount: bool = False) -> DataFram
     )
 
 
+def pair_history(history: DataFrame, *, mean_discount: bool = False) -> DataFrame:
+    """Counts per (user, merchant) and per (user, merchant, redeemed distance).
+
+    ``is_pair`` tells the two row kinds apart. The second kind exists only
+    for redeemed rows with a known distance; the filter below moves under the
+    aggregate, so no other rows are grouped twice. Discount sums are kept only
+    when ``mean_discount`` features will be asked for.
+    """
+    rows = _counted_rows(history, mean_discount=mean_discount)
+    return _with_distances(rows, [USER, MERCHANT], mean_discount=mean_discount)
+
+
+def daily_history(log: DataFrame, *, mean_discount: bool = False) -> DataFrame:
+    """The counts of :func:`pair_history` for every pair and day, over a whole log.
+
+    The day of a purchase is the day it was made, that of a receipt never used the
+    day it was received; these are the days that history windows look at, so any
+    window is a sum of this table's rows. A row with neither day is in no window.
+    """
+    day = F.coalesce(F.col(BOUGHT), F.col(RECEIVED)).alias(HISTORY_DAY)
+    rows = _counted_rows(log, day, mean_discount=mean_discount).where(F.col(HISTORY_DAY).isNotNull())
+    return _with_distances(rows, [USER, MERCHANT, HISTORY_DAY, "bought"], mean_discount=mean_discount)
+
+
+def pair_history_of_days(daily: DataFrame, number: int, *, overlap: bool = False) -> DataFrame:
+    """What :func:`pair_history` gives for a history window, summed from its days."""
+    first, last = HISTORY_WINDOWS[number]
+    day = lambda end: F.col(HISTORY_DAY).between(F.lit(first).cast("date"), F.lit(end).cast("date"))
+    unused = unused_end(number, overlap=overlap)
+    # The wider range alone is what prunes the stored days.
+    within = day(max(last, unused)) & (day(last) | (~F.col("bought") & day(unused)))
+    merged = {
+        name: F.min(name) if name == "gap_min" else F.max(name) if name == "gap_max" else F.sum(name)
+        for name in daily.columns
+        if name.startswith("n_") or name in ("gap_sum", "gap_min", "gap_max", "rate_sum")
+    }
+    return daily.where(within).groupBy(USER, MERCHANT, "distance", "is_pair").agg(
+        *[value.alias(name) for name, value in merged.items()]
+    )
+
+
 def pair_features(pairs: DataFrame) -> DataFrame:
     """The ``um_`` features: a projection of the pair rows."""
     bought, redeemed = F.col("n_bought"), F.col("n_redeemed")

@@ -1,4 +1,12 @@
-"""Find keys that hold too many rows for one task, and join around them."""
+"""Find keys that hold too many rows for one task, and join around them.
+
+A random sample of the key columns tells which keys are hot: it is as large as it
+must be for a key of ``min_rows`` rows to occur ``HITS`` times, so it is a small
+part of a large table and all of a small one. Its counts combine within tasks
+before they are merged, so no task merges more than its share of the keys,
+whatever the number of tasks. The sample only decides how rows are dealt; no row
+is left out of any result because of it.
+"""
 
 from __future__ import annotations
 
@@ -9,16 +17,16 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voucherlens.columns import COUPON, RECEIVED
+from voucherlens.session import written
 
-# At most this many keys can hold more than 1/MAX_HOT_KEYS of the rows, so a
-# list of hot keys never grows with the data.
-MAX_HOT_KEYS = 4000
-# The frequent-items sketch errs by about 3.5 / TRACKED_ITEMS of the rows,
-# well under 1 / MAX_HOT_KEYS, so no hot key is missed.
-TRACKED_ITEMS = 32768
-# Sketches are merged in two steps, so the last task sees this many at most.
-LANES = 64
-
+# A limit below this share of the rows is not accepted, so that the driver's list
+# of hot keys has at most this many entries, however large the table. A key just
+# below it holds 1e7 of 1e12 rows: about a GB, which one task can take.
+MAX_HOT_KEYS = 100_000
+# Occurrences in the sample that a key of the limit's size is expected to have.
+# From half of them on it counts as hot: a key of the limit's size is missed with
+# a probability of about 1e-5, one of twice its size never.
+HITS = 64
 
 # Keys in which a missing value is a value like others.
 NULLABLE = {COUPON, RECEIVED}
@@ -31,13 +39,21 @@ def key_hash(keys: Iterable[str]) -> Column:
 
 @dataclass(frozen=True)
 class HotRule:
-    """A key is hot when it holds over ``share`` of the rows and over ``min_rows``."""
+    """A key is hot when it holds over ``min_rows`` rows, a task's worth, and over ``share`` of them."""
 
     share: float = 1 / MAX_HOT_KEYS
     min_rows: int = 1_000_000
 
+    def __post_init__(self) -> None:
+        if self.share < 1 / MAX_HOT_KEYS:
+            raise ValueError(f"share must be at least 1/{MAX_HOT_KEYS}, so that the list of hot keys stays small")
+
+    def sampled(self) -> float:
+        """The part of all rows that is looked at."""
+        return min(1.0, HITS / self.min_rows)
+
     def limit(self, rows: int) -> int:
-        return max(self.min_rows, ceil(rows * max(self.share, 1 / MAX_HOT_KEYS)))
+        return max(self.min_rows, ceil(rows * self.share))
 
 
 @dataclass(frozen=True)
@@ -66,44 +82,22 @@ class HotKeys:
 def find_hot_keys(
     df: DataFrame, key_sets: dict[str, list[str]], rule: HotRule = HotRule()
 ) -> dict[str, HotKeys]:
-    """Hot keys of every key set, in one pass over the key columns.
-
-    The pass runs a mergeable sketch and shuffles no keys. Its counts only
-    decide how rows are split among tasks; no result depends on them.
-    """
-    hashed = df.select(
-        F.pmod(F.spark_partition_id(), F.lit(LANES)).alias("lane"),
-        *[key_hash(keys).alias(name) for name, keys in key_sets.items()],
-    )
-    lanes = hashed.groupBy("lane").agg(
-        F.count("*").alias("rows"),
-        *[
-            F.expr(f"approx_top_k_accumulate({name}, {TRACKED_ITEMS})").alias(name)
-            for name in key_sets
-        ],
-    )
-    # Grouped by a constant, so that an empty table gives no row at all.
-    found = lanes.groupBy(F.lit("all")).agg(
-        F.sum("rows").alias("rows"),
-        *[
-            F.expr(
-                f"approx_top_k_estimate(approx_top_k_combine({name}, {TRACKED_ITEMS}), {MAX_HOT_KEYS})"
-            ).alias(name)
-            for name in key_sets
-        ],
-    ).first()
-    if found is None:
-        return {name: HotKeys(tuple(keys)) for name, keys in key_sets.items()}
-    limit = rule.limit(found["rows"])
-    hot = {}
-    for name, keys in key_sets.items():
-        by_slices: dict[int, list[int]] = {}
-        for item, count in found[name] or []:
-            if count > limit:
-                slices = 1 << (ceil(count / limit) - 1).bit_length()
-                by_slices.setdefault(slices, []).append(item)
-        hot[name] = HotKeys(tuple(keys), by_slices)
-    return hot
+    """Hot keys of every key set, in one pass over the key columns."""
+    part = rule.sampled()
+    hashes = [F.struct(F.lit(name).alias("name"), key_hash(keys).alias("item")) for name, keys in key_sets.items()]
+    sample = df if part == 1 else df.where(F.rand(17) < part)
+    keys = sample.select(F.explode(F.array(*hashes)).alias("key"))
+    counts = written(keys.groupBy("key.name", "key.item").agg(F.count("*").alias("n")), "key-sample")
+    # Every set has counted every row of the sample once. Only hot keys leave the executors.
+    limits = {r["name"]: rule.limit(int(r["rows"] / part)) for r in counts.groupBy("name").agg(F.sum("n").alias("rows")).collect()}
+    is_hot = F.lit(False)
+    for name, limit in limits.items():
+        is_hot = is_hot | ((F.col("name") == name) & (F.col("n") > limit * part * (1 if part == 1 else 0.5)))
+    by_slices: dict[str, dict[int, list[int]]] = {name: {} for name in key_sets}
+    for row in counts.where(is_hot).collect():
+        pieces = max(2, ceil(row["n"] / part / limits[row["name"]]))
+        by_slices[row["name"]].setdefault(1 << (pieces - 1).bit_length(), []).append(row["item"])
+    return {name: HotKeys(tuple(keys), by_slices[name]) for name, keys in key_sets.items()}
 
 
 def attach(left: DataFrame, right: DataFrame, hot: HotKeys) -> DataFrame:

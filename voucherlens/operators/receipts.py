@@ -119,14 +119,19 @@ def hot_user_receipts(rows: DataFrame) -> DataFrame:
 
 
 def receipt_features(
-    receipts: DataFrame, *, rule: HotRule = HotRule()
+    receipts: DataFrame, *, rule: HotRule = HotRule(), clustered: bool = False
 ) -> DataFrame:
-    """The ``t_`` features, one row per (user, coupon, day) of ``receipts``."""
+    """The ``t_`` features, one row per (user, coupon, day) of ``receipts``.
+
+    Receipts that are stored in buckets of the user (``clustered``) need no exchange.
+    """
     keys = receipts.select(*RECEIPT_KEY)
     hot = find_hot_keys(keys, {"user": [USER]}, rule)["user"]
     ordinary = keys.where(~hot.contains()) if hot else keys
     # The exchange on the user serves the daily counts and all windows.
-    ordinary = ordinary_receipts(daily_receipts(ordinary.repartition(USER)))
+    if not clustered:
+        ordinary = ordinary.repartition(USER)
+    ordinary = ordinary_receipts(daily_receipts(ordinary))
     if not hot:
         return ordinary
     return ordinary.unionByName(hot_user_receipts(keys.where(hot.contains())))

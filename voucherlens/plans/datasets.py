@@ -16,7 +16,7 @@ from voucherlens.functions.coupon import (
 from voucherlens.functions.labels import redemption_label
 from voucherlens.operators.history import (
     merchant_coupon_counts, merchant_features, pair_features, pair_history,
-    user_coupon_features, user_features,
+    pair_history_of_days, user_coupon_features, user_features,
 )
 from voucherlens.operators.hot_keys import HotRule, attach, find_hot_keys
 from voucherlens.operators.receipts import (
@@ -90,9 +90,16 @@ def assemble(
     scored: DataFrame,
     options: FeatureOptions = FeatureOptions(),
     rule: HotRule = HotRule(),
+    *,
+    pairs: DataFrame | None = None,
+    clustered: bool = False,
 ) -> DataFrame:
     """Scored receipts with all history and receipt features.
 
+    ``pairs`` is the pair history where it is at hand, as from stored days;
+    ``history`` then serves optional features only. ``clustered`` says that the
+    scored rows are stored in buckets of the user, so that they are not exchanged.
+
     One row per distinct scored row. Features depend on the row alone, so
     rows are made distinct first, while they are narrow, and each keeps its
     number of copies for the receipt counts. Label and coupon features are
@@ -105,14 +112,16 @@ def assemble(
     """
     raw = scored.columns
     hot = find_hot_keys(scored, _key_sets(options), rule)
-    pairs = written(
-        pair_history(history, mean_discount=options.mean_discount), "pair-history"
-    )
+    if pairs is None:
+        pairs = pair_history(history, mean_discount=options.mean_discount)
+    pairs = written(pairs, "pair-history")
     users = user_features(pairs, mean_discount=options.mean_discount)
     is_hot_user = hot["user"].contains()
 
     ordinary = scored.where(~is_hot_user) if hot["user"] else scored
-    ordinary = ordinary.repartition(USER).groupBy(*raw).agg(F.count("*").alias(COPIES))
+    if not clustered:
+        ordinary = ordinary.repartition(USER)
+    ordinary = ordinary.groupBy(*raw).agg(F.count("*").alias(COPIES))
     rows = ordinary_receipts(ordinary).join(users, USER, "left")
     if hot["user"]:
         dense = scored.where(is_hot_user).groupBy(*raw).agg(F.count("*").alias(COPIES))
@@ -177,14 +186,22 @@ def build_dataset(
     test: DataFrame | None = None,
     options: FeatureOptions = FeatureOptions(),
     rule: HotRule = HotRule(),
+    daily: DataFrame | None = None,
 ) -> DataFrame:
-    """Feature table 1 or 2 from the training log, or 3 for the test log."""
+    """Feature table 1 or 2 from the training log, or 3 for the test log.
+
+    With ``daily``, the stored counts by day of the training log, the history is
+    summed from them and the log is read for the scored rows only.
+    """
     history = history_window(train, number, overlap=options.history_overlap)
+    pairs = None
+    if daily is not None:
+        pairs = pair_history_of_days(daily, number, overlap=options.history_overlap)
     if number == 3:
         if test is None:
             raise ValueError("table 3 scores the test log")
-        return assemble(history, test, options, rule)
-    return assemble(history, dataset_window(train, number), options, rule)
+        return assemble(history, test, options, rule, pairs=pairs)
+    return assemble(history, dataset_window(train, number), options, rule, pairs=pairs)
 
 
 def attach_receipts(

@@ -6,6 +6,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from voucherlens.columns import COUPON, DATE_TEXT, RECEIVED, USER
+from voucherlens.operators.history import HISTORY_DAY
+
+#: Files of one stored day.
+DAY_FILES = 8
 
 
 def write_dataset(df: DataFrame, path: str) -> None:
@@ -18,6 +22,35 @@ def read_dataset(spark: SparkSession, path: str, schema: T.StructType | None = N
     return reader.parquet(path)
 
 
+def store_days(daily: DataFrame, path: str) -> None:
+    """Store counts by day, a folder for each day; days that are there already are replaced.
+
+    A new day of the log costs its own folder, and the folders of earlier receipts
+    that it turns into purchases.
+    """
+    # Rows of a day lie in a bounded number of files, however many tasks write.
+    dealt = daily.repartition(HISTORY_DAY, F.pmod(F.xxhash64(USER), F.lit(DAY_FILES)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(HISTORY_DAY).parquet(path)
+
+
+def load_days(spark: SparkSession, path: str) -> DataFrame:
+    """Counts by day; a window reads the folders of its days only."""
+    return spark.read.parquet(path).withColumn(HISTORY_DAY, F.col(HISTORY_DAY).cast("date"))
+
+
+def store_buckets(df: DataFrame, name: str, path: str, keys: list[str], buckets: int) -> None:
+    """Store a table hashed into buckets by ``keys`` and sorted within them.
+
+    Joins, groups and windows on the keys then take it as it lies, without an exchange.
+    """
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+
+
+def load_buckets(spark: SparkSession, name: str) -> DataFrame:
+    return spark.table(name)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """A feature table as CSV with a header; there is no index column."""
     (
