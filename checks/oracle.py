@@ -245,6 +245,18 @@ def oracle_sql() -> dict[str, str]:
             f" SELECT CAST(1 AS BIGINT) AS is_valid, {O.label()} AS label FROM d)"
             " SELECT is_valid, label, COUNT(*) AS n FROM u WHERE label <> -1 GROUP BY is_valid, label"
         ),
+        "gbt_scored_rows": (
+            f"WITH {LOG}, d AS (SELECT DISTINCT * FROM ({O.dataset_window(2)}))"
+            f" SELECT {KEYS}, {O.label()} AS label, CAST(1 AS BIGINT) AS in_range FROM d"
+        ),
+        "logistic_grid_settings": (
+            "SELECT a AS alpha, l AS l1_ratio, CAST(1 AS BIGINT) AS has_auc"
+            " FROM (SELECT UNNEST([0.001::DOUBLE, 0.01, 0.1]) AS a), (SELECT UNNEST([0.001::DOUBLE, 0.01, 0.1]) AS l)"
+        ),
+        "importance_features": (
+            "SELECT UNNEST([" + ", ".join(f"'{n}'" for n in [*PREDICTORS, "t_day_gap_before", "t_day_gap_after"])
+            + "]) AS feature, CAST(1 AS BIGINT) AS is_share, CAST(1 AS DOUBLE) AS total"
+        ),
         "kfold_rounds": (
             f"WITH {LOG}, d AS (SELECT DISTINCT * FROM ({O.dataset_window(1)})),"
             f" l AS (SELECT (User_id + Merchant_id) % 3 AS part, greatest({O.label()}, 0) AS label FROM d)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from voucherlens.columns import (
     BOUGHT, COUPON, DISCOUNT, DISTANCE, LABEL, MERCHANT, RECEIPT_FEATURES, RECEIVED, USER,
@@ -504,6 +504,14 @@ def logistic_grid(spark: SparkSession, sf: str) -> DataFrame:
 ROUNDS = 20
 
 
+@query("logistic_grid_settings")
+def logistic_grid_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """The settings that the grid tried, each with a held-out AUC."""
+    trials = models.logistic_grid(*_training_tables(spark, sf), max_iter=10).trials
+    rows = [(t["alpha"], t["l1_ratio"], int(0 <= t["auc"] <= 1)) for t in trials]
+    return spark.createDataFrame(rows, "alpha double, l1_ratio double, has_auc bigint")
+
+
 @query("gbt_scores")
 def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
     train, valid = _training_tables(spark, sf)
@@ -511,6 +519,17 @@ def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
     return models.score(fitted.model, valid).select(USER, COUPON, RECEIVED, LABEL, "score")
 
 
+@query("gbt_scored_rows")
+def gbt_scored_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Which receipts a stored and reloaded model scores, and whether every score is a probability."""
+    train, valid = _training_tables(spark, sf)
+    path = f"{run_dir(spark)}/model-{uuid.uuid4().hex}"
+    tables.save_model(models.fit_trees(train, valid, kind="deep", rounds=2).model, path)
+    scored = models.score(tables.load_model(path), valid)
+    in_range = F.col("score").between(0, 1).cast("bigint").alias("in_range")
+    return comparable(scored.select(USER, COUPON, RECEIVED, LABEL, in_range))
+
+
 @query("gbt_early_stop")
 def gbt_early_stop(spark: SparkSession, sf: str) -> DataFrame:
     """All rounds of the setting are allowed; a shorter patience ends it."""
@@ -528,6 +547,15 @@ def gbt_importances(spark: SparkSession, sf: str) -> DataFrame:
     return models.feature_importances(models.fit_trees(train, valid, rounds=ROUNDS), spark)
 
 
+@query("importance_features")
+def importance_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The predictors that importances are given for; importances are shares."""
+    train, valid = _training_tables(spark, sf)
+    found = models.feature_importances(models.fit_trees(train, valid, rounds=2), spark)
+    total = F.round(F.sum("importance").over(Window.partitionBy(F.lit(0))), 6)
+    return found.select("feature", F.col("importance").between(0, 1).cast("bigint").alias("is_share"), total.alias("total"))
+
+
 @query("kfold_report")
 def kfold_report(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = _training_tables(spark, sf)
