@@ -82,7 +82,15 @@ def test_edit_distance():
         assert lines.distance(a, b) == edit_distance(a, b)
 
 
-def brute_lines(rows):
+def meets(a, b):
+    """Whether two normalised lines share a block, and their SimHashes and lengths allow a link."""
+    left, right = lines.block_keys([a])[0], lines.block_keys([b])[0]
+    x, y = (lines.nodes([n]) for n in (a, b))
+    return bool(len(np.intersect1d(left, right))) and bool(lines._allowed(x, y)[0][0])
+
+
+def brute_lines(rows, *, alone=False):
+    """All pairs of lines by edit similarity: of those that meet, or ``alone``."""
     first, place = {}, {}
     for doc, text in rows:
         doc = lines.LAST_ID if doc is None else doc
@@ -90,15 +98,16 @@ def brute_lines(rows):
             n = lines.normal(line)
             if len(n) >= lines.LEAST:
                 first[n] = min(first.get(n, (doc, i)), (doc, i))
-    all_ = list(first)
-    hashes = lines.simhashes(all_) if all_ else []
+    all_ = sorted(first, key=lambda n: len(n.decode()))
+    sizes = [len(n.decode()) for n in all_]
     root = list(range(len(all_)))
+    # Held against the plain table of distances in test_edit_distance.
     for i in range(len(all_)):
-        for j in range(i):
-            if int(hashes[i] ^ hashes[j]).bit_count() <= lines.BITS_APART and root[i] != root[j]:
-                # Held against the plain table of distances in test_edit_distance.
-                if lines.similar(all_[i].decode(), all_[j].decode()):
-                    root = [root[j] if r == root[i] else r for r in root]
+        for j in range(i - 1, -1, -1):
+            if 10 * sizes[j] < 9 * sizes[i]:
+                break
+            if root[i] != root[j] and (alone or meets(all_[i], all_[j])) and lines.similar(all_[i].decode(), all_[j].decode()):
+                root = [root[j] if r == root[i] else r for r in root]
     for i, n in enumerate(all_):
         place[root[i]] = min(place.get(root[i], first[n]), first[n])
     keep = {n: place[root[i]] for i, n in enumerate(all_)}
@@ -137,10 +146,78 @@ def test_candidates_reach_nine_tenths_of_similar_lines():
         b = " ".join("".join(b).split())
         if a != b and min(len(a), len(b)) >= lines.LEAST and lines.similar(a, b):
             pairs.append((a.encode(), b.encode()))
-    left, right = zip(*pairs)
-    shared = (lines.block_keys(list(left)) == lines.block_keys(list(right))).any(axis=0)
-    near = np.bitwise_count(lines.simhashes(list(left)) ^ lines.simhashes(list(right))) <= lines.BITS_APART
-    assert (shared & near).mean() >= 0.9
+    left, right = map(list, zip(*pairs))
+    shared = np.array([len(np.intersect1d(x, y)) > 0 for x, y in zip(lines.block_keys(left), lines.block_keys(right))])
+    near, _ = lines._allowed(lines.nodes(left), lines.nodes(right))
+    assert (shared & near).mean() >= 0.95
+    heavy = np.array([10 * edit_distance(a, b) >= 0.8 * max(len(a), len(b)) for a, b in zip(left, right)])
+    assert heavy.sum() > 50 and (shared & near)[heavy].mean() >= 0.9
+
+
+def test_pairs_in_one_table():
+    rng = random.Random(10)
+    left = ["".join(rng.choice("abcé ") for _ in range(rng.choice([0, 1, 5, 30, 90]))) for _ in range(700)] + ["ab" * 1500, "é" * 2500]
+    right = []
+    for a in left:
+        b = list(a)
+        for _ in range(rng.randint(0, 1 + len(a) // 7)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "yy"])
+        right.append("".join(b))
+    found = lines.similar_pairs(left, right)
+    assert found.tolist() == [lines.similar(a, b) for a, b in zip(left, right)] and 100 < found.sum() < 650
+    short = [i for i, a in enumerate(left) if len(a) < 100]
+    assert [bool(found[i]) for i in short] == [
+        10 * edit_distance(left[i], right[i]) <= max(len(left[i]), len(right[i])) for i in short
+    ]
+
+
+def families(seed=11):
+    """Large groups of near copies with their own words, lines that share a long beginning only, and chains."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 8)))
+    rows, start = [], " ".join(word() for _ in range(12))
+    for base in [" ".join(word() for _ in range(25)) for _ in range(3)]:
+        for _ in range(90):
+            copy = base.split()
+            for _ in range(rng.randint(0, 2)):
+                copy[rng.randrange(25)] = word()
+            rows.append(" ".join(copy))
+    rows += [f"{start} {' '.join(word() for _ in range(12))}" for _ in range(150)]
+    chain = [word() for _ in range(40)]
+    for i in range(20):
+        chain[2 * i] = word()
+        rows.append(" ".join(chain))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_large_groups_are_compared_in_full(table):
+    rows = families()
+    kept = lines.dedup_lines(table(rows))[0].select("row.doc_id", "text")
+    assert sorted(tuple(r) for r in kept.collect()) == brute_lines(rows)
+
+
+def test_lines_do_not_depend_on_partitions(spark, table, corpus):
+    rows = corpus + [(1000 + d, t) for d, t in families()]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for parts in (1, 8, 211):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        kept = lines.dedup_lines(table(rows).repartition(parts))[0].select("row.doc_id", "text", "n_removed")
+        found.append(sorted(map(tuple, kept.collect()), key=repr))
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert found[0] == found[1] == found[2]
+
+
+def test_documents_keep_what_edit_similarity_alone_keeps(spark, table, small):
+    """Nine tenths of the lines that all pairs, judged by edit similarity alone, would remove."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()][:60]
+    docs += [(5000 + d, t) for d, t in families(12)[:200]]
+    count = lambda kept: sum(len((t or "").split("\n")) if t else 0 for _, t in kept)
+    before, alone = count(docs), count(brute_lines(docs, alone=True))
+    ours = count([(r["doc_id"], r["text"]) for r in lines.dedup_lines(table(docs))[0].select("row.doc_id", "text").collect()])
+    assert before - ours >= 0.9 * (before - alone) and ours >= alone
 
 
 def test_one_changed_character_is_a_copy(table):
