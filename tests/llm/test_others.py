@@ -82,11 +82,14 @@ def test_edit_distance():
         assert lines.distance(a, b) == edit_distance(a, b)
 
 
-def meets(a, b):
-    """Whether two normalised lines share a block, and their SimHashes and lengths allow a link."""
-    left, right = lines.block_keys([a])[0], lines.block_keys([b])[0]
-    x, y = (lines.nodes([n]) for n in (a, b))
-    return bool(len(np.intersect1d(left, right))) and bool(lines._allowed(x, y)[0][0])
+def meets(left, right):
+    """Which pairs of normalised lines share a block, and have SimHashes and lengths that allow a link."""
+    shared = [len(np.intersect1d(x, y)) > 0 for x, y in zip(lines.block_keys(left), lines.block_keys(right))]
+    near, _ = lines._allowed(lines.nodes(left), lines.nodes(right))
+    apart = (lines.fine_simhashes(left) ^ lines.fine_simhashes(right)).view(np.uint64)
+    longest = np.array([max(len(a.decode()), len(b.decode())) for a, b in zip(left, right)])
+    fine = np.bitwise_count(apart).sum(axis=1) <= np.minimum(lines.FINE_APART, 6 * longest // 10)
+    return np.array(shared) & near & fine
 
 
 def brute_lines(rows, *, alone=False):
@@ -106,7 +109,7 @@ def brute_lines(rows, *, alone=False):
         for j in range(i - 1, -1, -1):
             if 10 * sizes[j] < 9 * sizes[i]:
                 break
-            if root[i] != root[j] and (alone or meets(all_[i], all_[j])) and lines.similar(all_[i].decode(), all_[j].decode()):
+            if root[i] != root[j] and (alone or meets([all_[i]], [all_[j]])[0]) and lines.similar(all_[i].decode(), all_[j].decode()):
                 root = [root[j] if r == root[i] else r for r in root]
     for i, n in enumerate(all_):
         place[root[i]] = min(place.get(root[i], first[n]), first[n])
@@ -147,11 +150,10 @@ def test_candidates_reach_nine_tenths_of_similar_lines():
         if a != b and min(len(a), len(b)) >= lines.LEAST and lines.similar(a, b):
             pairs.append((a.encode(), b.encode()))
     left, right = map(list, zip(*pairs))
-    shared = np.array([len(np.intersect1d(x, y)) > 0 for x, y in zip(lines.block_keys(left), lines.block_keys(right))])
-    near, _ = lines._allowed(lines.nodes(left), lines.nodes(right))
-    assert (shared & near).mean() >= 0.95
+    met = meets(left, right)
+    assert met.mean() >= 0.95
     heavy = np.array([10 * edit_distance(a, b) >= 0.8 * max(len(a), len(b)) for a, b in zip(left, right)])
-    assert heavy.sum() > 50 and (shared & near)[heavy].mean() >= 0.9
+    assert heavy.sum() > 50 and met[heavy].mean() >= 0.9
 
 
 def test_pairs_in_one_table():
