@@ -106,11 +106,17 @@ def words(
     return start, np.flatnonzero(ends) + 1, np.searchsorted(start, at)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of every word, with A-Z as a-z."""
+def byte_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums from which the hash of any run of bytes follows, and the factors of their beginnings."""
     power, inverse = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum(_WORD_BYTES[data] * power[:-1], out=sums[1:])
+    return sums, inverse
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of every word, with A-Z as a-z."""
+    sums, inverse = byte_sums(data)
     return mix((sums[end] - sums[start]) * inverse[start])
 
 
