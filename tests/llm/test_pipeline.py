@@ -42,3 +42,26 @@ def test_stages(spark, small):
     assert sum(r["length"] for r in packed) == sum(
         len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows_of(clean)
     )
+
+
+def test_rows_without_ids_and_repeated_rows(spark, table, small):
+    """Each row is decided on by its own text."""
+    stages = dict(corpus_pipeline.STAGES)
+    item = spark.read.parquet(f"{small}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    words = [f"w{i}" for i in range(60)]
+    copy, near, other = " ".join(words), " ".join(words[:-1] + ["end"]), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, copy), (None, copy), (7, near), (7, near), (5, copy), (7, other), (None, other), (None, None), (3, ""), (3, None)]
+    docs = written(table(rows), "test")
+    kept = stages["n-gram Jaccard join"](spark, docs, small)
+    assert kept.columns == docs.columns
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert found == sorted([(5, copy), (7, other), (None, None), (3, ""), (3, None)], key=repr)
+    rows = [(None, item), (None, other), (4, item), (4, other), (4, other), (None, None)]
+    docs = written(table(rows), "test")
+    clean = stages["benchmark decontamination"](spark, docs, small)
+    assert clean.columns == docs.columns
+    found = sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=repr)
+    assert found == sorted([(None, other), (4, other), (4, other), (None, None)], key=repr)
+    empty = written(table([]), "test")
+    for name in ("line dedup", "n-gram Jaccard join", "benchmark decontamination"):
+        assert stages[name](spark, empty, small).collect() == []
