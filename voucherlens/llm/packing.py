@@ -131,12 +131,16 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of every document, with the CRC-32 of their ids."""
+def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, *, lasting: bool = True) -> DataFrame:
+    """The pieces of every document, with the CRC-32 of their ids.
+
+    Caches of words stay in their Python workers for later tasks, or go with the
+    task where other work shares the workers (``lasting`` is false).
+    """
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(tokenizer)
+        tokens = encoder(tokenizer) if lasting else Encoder(tokenizer)
         for rows, data, at in slices(batches, limit=1 << 20):
             out = []
             for doc, ids in zip(rows.column("doc_id").to_pylist(), tokens.encode(data, at), strict=True):
@@ -250,6 +254,6 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, *, lasting: bool = True) -> DataFrame:
     """Every piece of every document with its sequence and its offset there."""
-    return place(written(pieces(documents, tokenizer, capacity), "pieces"), capacity)
+    return place(written(pieces(documents, tokenizer, capacity, lasting=lasting), "pieces"), capacity)
