@@ -232,10 +232,10 @@ def oracle_sql() -> dict[str, str]:
             f"WITH {LOG}, {O.assembled_ctes(2)},"
             f" filled AS (SELECT {O.coupon_list()}, {O.wide_list()} FROM wide)"
             + " UNION ALL ".join(
-                f" SELECT '{n}' AS \"column\", COUNT({n}) AS n, ROUND(AVG({n}), 6) AS mean,"
-                f" ROUND(STDDEV_SAMP({n}), 6) AS std, ROUND(MIN({n})::DOUBLE, 6) AS min,"
-                f" ROUND(QUANTILE_CONT({n}::DOUBLE, 0.25), 6) AS p25, ROUND(QUANTILE_CONT({n}::DOUBLE, 0.5), 6) AS p50,"
-                f" ROUND(QUANTILE_CONT({n}::DOUBLE, 0.75), 6) AS p75, ROUND(MAX({n})::DOUBLE, 6) AS max FROM filled"
+                f" SELECT '{n}' AS \"column\", COUNT({n}) AS n, ROUND(AVG({n}), 4) AS mean,"
+                f" ROUND(STDDEV_SAMP({n}), 4) AS std, ROUND(MIN({n})::DOUBLE, 4) AS min,"
+                f" ROUND(QUANTILE_CONT({n}::DOUBLE, 0.25), 4) AS p25, ROUND(QUANTILE_CONT({n}::DOUBLE, 0.5), 4) AS p50,"
+                f" ROUND(QUANTILE_CONT({n}::DOUBLE, 0.75), 4) AS p75, ROUND(MAX({n})::DOUBLE, 4) AS max FROM filled"
                 for n in [*PREDICTORS, "t_day_gap_before", "t_day_gap_after"]
             )
         ),

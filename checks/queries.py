@@ -462,9 +462,10 @@ def score_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("predictor_summary")
 def predictor_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """All predictors of table 2, described together."""
-    table = written(_dataset(spark, sf, 2), "dataset2")
-    return comparable(summary.describe(table, predictors(table.columns)))
+    """All predictors of table 2 to six places, described together to four."""
+    table = written(comparable(_dataset(spark, sf, 2)), "dataset2")
+    found = summary.describe(table, predictors(table.columns))
+    return comparable(found.select(*[F.round(c, 4).alias(c) if t == "double" else c for c, t in found.dtypes]))
 
 
 @query("column_mean_compare")
