@@ -95,3 +95,26 @@ def test_hot_anchors_take_another_way_to_the_same_result(monkeypatch, corpus, ho
             out += [(r["doc_id"], r["n_bytes"], hashlib.sha256(r["kept"]).hexdigest(), r["span_start"], r["span_end"])
                     for r in batch.to_pylist()]
     assert sorted(out, key=repr) == brute(rows)
+
+
+def test_many_different_runs_of_one_anchor_are_told_apart():
+    """Texts of random letters round one common string share no passage, however many they are."""
+    rng = np.random.default_rng(3)
+    # Of many strings that whose rank is lowest, so that it is the anchor round itself.
+    words = rng.integers(97, 123, (4000, 16), np.uint8)
+    ranks = suffixes.mix(suffixes.doubled(words.ravel())[16])[::16] >> np.uint64(32)
+    held, common = [], words[ranks.argmin()].tobytes()
+    for part in range(20):
+        letters = rng.integers(97, 123, (5000, 84 + len(common)), np.uint8)
+        letters[:, 42 : 42 + len(common)] = np.frombuffer(common, np.uint8)
+        runs = suffixes.Runs(letters.ravel(), np.arange(5001) * letters.shape[1])
+        held.append((runs.seed, runs.unit, runs.run, 5000 * part + runs.doc))
+    columns = list(map(np.concatenate, zip(*held)))
+    sent = [b for b in suffixes._pack_runs(*columns, 8) if b.num_rows]
+    assert not any((b.column("status").to_numpy(zero_copy_only=False) == suffixes.FULL).any() for b in sent)
+    # One anchor holds most of them, and names that travel differ too.
+    anchor, run = columns[0] & np.uint64(0xFFFFFFFFFFFF), columns[2]
+    values, counts = np.unique(anchor, return_counts=True)
+    assert counts.max() > 20_000
+    most = run[anchor == values[counts.argmax()]]
+    assert len(np.unique(most)) == len(most)

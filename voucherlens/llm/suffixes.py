@@ -4,7 +4,8 @@ A byte is removed if it is covered by a string of ``LENGTH`` bytes that also
 starts in a document with a smaller id. Positions are ranked by their first 1,
 2, 4, ... bytes, the rank at twice a length from two ranks at the length, and
 ranks that are unique are dropped as soon as they are met. Ranks are 64-bit
-hashes, so positions keep their rank wherever they are.
+hashes, so positions keep their rank wherever they are; of a run's rank 40 bits
+travel beside 24 of its anchor's, of a window's 48 beside 32 of its anchor's.
 
 Ranking every position would send 16 times the text per round. Positions are
 thinned first in a way that loses none: of all 16-byte ranks in a window of
@@ -65,6 +66,9 @@ _CUT = pa.schema([
 _ENTRY = np.dtype([("run", "<u8"), ("doc", "<i8")])
 _RUN = np.dtype([("anchor", "<u4"), ("windows", "<u2"), ("doc", "<i8")])
 
+#: The part of a run's name that is its anchor's.
+ANCHOR = U64(0xFFFFFF)
+
 _BYTES = byte_table(37, fold_case=False)
 _STEP = 0xA24BAED4963EE407
 
@@ -111,20 +115,21 @@ class Runs:
         ends = mix(self.window[self.first]) + self.window[self.last]
         shape = ((self.last - self.first) * LENGTH + anchor - self.first).astype(U64)
         unit = mix(mix(ends) + shape)
-        # A run's name: half of its own rank, and a third of its anchor's.
-        self.run = (unit & U64(0xFFFFFFFF00000000)) | (self.seed >> U64(16) & U64(0xFFFFFFFF))
+        # A run's name: 40 bits of its own rank, and 24 of its anchor's.
+        self.unit, self.anchor = unit, self.seed >> U64(16) & U64(0xFFFFFFFF)
+        self.run = (unit & ~ANCHOR) | (self.anchor & ANCHOR)
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start of every window of the chosen runs, its run, and its name."""
         size = self.last[chosen] - self.first[chosen] + 1
         run = np.repeat(chosen, size)
         at = np.repeat(self.first[chosen] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return at, run, window_names(self.run[run] & U64(0xFFFFFFFF), self.window[at])
+        return at, run, window_names(self.anchor[run], self.window[at])
 
 
 def window_names(anchor: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """From the anchor's third and 40 bits of the window's rank, which travel with a run."""
-    return mix(anchor * U64(_STEP) + (window & U64(0xFFFFFFFFFF)))
+    """From half of the anchor's rank and 48 bits of the window's, which travel with a run."""
+    return mix(anchor * U64(_STEP) + (window & U64(0xFFFFFFFFFFFF)))
 
 
 def _smallest(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -151,13 +156,18 @@ def _by_bucket(bucket: np.ndarray, entries: np.ndarray, buckets: int) -> pa.Reco
     return _sent(bucket=full, packed=[entries[order[at[b] : at[b + 1]]].tobytes() for b in full])
 
 
-def _pack_runs(seed: np.ndarray, run: np.ndarray, doc: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Runs by the bucket of their anchor; what equal runs and hot anchors of a task show."""
+def _pack_runs(
+    seed: np.ndarray, unit: np.ndarray, run: np.ndarray, doc: np.ndarray, buckets: int
+) -> Iterator[pa.RecordBatch]:
+    """Runs by the bucket of their anchor; what equal runs and hot anchors of a task show.
+
+    Within a task runs are told apart by all 64 bits of their rank.
+    """
     anchor = seed & U64(0xFFFFFFFFFFFF)
-    order = np.lexsort((doc, run, anchor))
-    anchor, run, doc = anchor[order], run[order], doc[order]
+    order = np.lexsort((doc, unit, anchor))
+    anchor, unit, run, doc = anchor[order], unit[order], run[order], doc[order]
     new_anchor = np.r_[True, anchor[1:] != anchor[:-1]]
-    new_run = new_anchor | np.r_[True, run[1:] != run[:-1]]
+    new_run = new_anchor | np.r_[True, unit[1:] != unit[:-1]]
     later = doc > _smallest(np.cumsum(new_run), doc)
     yield _answer(doc[later], run[later], np.full(later.sum(), FULL), buckets)
     anchor, run, doc, new_anchor = anchor[new_run], run[new_run], doc[new_run], new_anchor[new_run]
@@ -167,7 +177,7 @@ def _pack_runs(seed: np.ndarray, run: np.ndarray, doc: np.ndarray, buckets: int)
     note = hot & new_anchor
     sent = ~hot | note
     entries = np.zeros(sent.sum(), _ENTRY)
-    entries["run"] = np.where(note, run & U64(0xFFFFFFFF), run)[sent]
+    entries["run"] = np.where(note, run & ANCHOR, run)[sent]
     entries["doc"] = np.where(note, NOTE, doc)[sent]
     yield _by_bucket((anchor[sent] & U64(0xFFFF)) * U64(buckets) >> U64(16), entries, buckets)
 
@@ -177,7 +187,7 @@ def _find_runs(buckets: int):
         held, size = [], 0
         for rows, data, at in slices(batches):
             runs = Runs(data, at)
-            held.append((runs.seed, runs.run, rows.column("doc_id").to_numpy()[runs.doc]))
+            held.append((runs.seed, runs.unit, runs.run, rows.column("doc_id").to_numpy()[runs.doc]))
             size += len(runs.seed)
             if size >= PACK:
                 yield from _pack_runs(*map(np.concatenate, zip(*held)), buckets)
@@ -206,7 +216,7 @@ def _rank_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     entries = np.concatenate([e for _, e in parts])
     bucket = np.repeat(np.array([b for b, _ in parts], U64), [len(e) for _, e in parts])
-    anchor, run, doc = bucket << U64(32) | entries["run"] & U64(0xFFFFFFFF), entries["run"], entries["doc"]
+    anchor, run, doc = bucket << U64(32) | entries["run"] & ANCHOR, entries["run"], entries["doc"]
     order = np.lexsort((doc, run, anchor))
     anchor, run, doc = anchor[order], run[order], doc[order]
     note = doc == NOTE
@@ -240,7 +250,7 @@ def _find_windows(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in slices(batches):
             runs, ids = Runs(data, at), rows.column("doc_id").to_numpy()
-            # Windows of ordinary anchors travel by run: 5 bytes each.
+            # Windows of ordinary anchors travel by run: 6 bytes each.
             part = np.flatnonzero(_chosen(runs, _names(rows.column("part"))))
             if len(part):
                 bucket = (runs.seed[part] & U64(0xFFFF)) * U64(buckets) >> U64(16)
@@ -251,9 +261,9 @@ def _find_windows(buckets: int):
                 for b in full:
                     own = part[bounds[b] : bounds[b + 1]]
                     head = np.zeros(len(own), _RUN)
-                    head["anchor"] = runs.run[own] & U64(0xFFFFFFFF)
+                    head["anchor"] = runs.anchor[own]
                     head["windows"], head["doc"] = runs.last[own] - runs.first[own] + 1, ids[runs.doc[own]]
-                    ranks = runs.window[runs.windows(own)[0]].view(np.uint8).reshape(-1, 8)[:, :5]
+                    ranks = runs.window[runs.windows(own)[0]].view(np.uint8).reshape(-1, 8)[:, :6]
                     packed.append(len(own).to_bytes(8, "little") + head.tobytes() + ranks.tobytes())
                 yield _sent(bucket=full, packed=packed, status=np.full(len(full), PART, np.int8))
             hot = np.flatnonzero(_chosen(runs, _names(rows.column("scattered"))))
@@ -288,7 +298,7 @@ def _unpacked(packed: memoryview) -> tuple[np.ndarray, np.ndarray]:
     count = int(raw[:8].view(np.int64)[0])
     head = raw[8 : 8 + count * _RUN.itemsize].view(_RUN)
     ranks = np.zeros((int(head["windows"].sum()), 8), np.uint8)
-    ranks[:, :5] = raw[8 + count * _RUN.itemsize :].reshape(-1, 5)
+    ranks[:, :6] = raw[8 + count * _RUN.itemsize :].reshape(-1, 6)
     anchor = np.repeat(head["anchor"].astype(U64), head["windows"])
     return window_names(anchor, ranks.view(U64).ravel()), np.repeat(head["doc"], head["windows"])
 
