@@ -12,8 +12,8 @@
    of all pieces is ranked by many tasks, and look their sequence up by it.
 
 Texts are split at ASCII white space before they are encoded, since the
-tokenizer's normalizer and pre-tokenizer never look across it; bounded caches
-hold the ids of words.
+tokenizer's normalizer and pre-tokenizer never look across it; the ids of words
+seen before are remembered in flat arrays of bounded size.
 
 NULL and empty texts are one piece with the end id alone. Repeated documents
 and ids are packed as often as they occur. An empty table gives an empty
@@ -24,23 +24,30 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from voucherlens.llm.text import SPACE, slices, table, word_hashes, words as find_words
+from voucherlens.llm.text import SPACE, U64, slices, table, word_hashes, words as find_words
 from voucherlens.session import written
 
 CAPACITY = 4096
 END_ID = 2
-#: Words and stems whose ids a Python worker remembers, and the longest in bytes.
-CACHED_WORDS, CACHED_STEMS = 300_000, 400_000
-CACHED_BYTES = 48
-#: ASCII characters that are neither letter, digit nor white space. Fixed values.
-END_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Parts of words whose ids a Python worker remembers, and the longest in bytes.
+REMEMBERED = 2_000_000
+REMEMBERED_BYTES = 48
+# Fixed byte classes: ASCII letters, and ASCII characters that are neither letter,
+# digit, control character nor white space.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+END_MARKS = np.zeros(256, bool)
+END_MARKS[0x21:0x7F] = True
+END_MARKS[0x30:0x3A] = False
+END_MARKS &= ~LETTERS
 
 _PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
@@ -49,76 +56,119 @@ _PIECES = pa.schema([
 _PACKED = pa.schema([*_PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+def _runs(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``begin``, one after the other."""
+    past = np.cumsum(size)
+    total = int(past[-1]) if len(past) else 0
+    return flat[np.repeat(begin - past + size, size) + np.arange(total)]
+
+
+class Ids(NamedTuple):
+    """Token ids by hash, as flat arrays: sorted keys, where the ids of each begin, how many, and the ids."""
+
+    keys: np.ndarray = np.zeros(0, U64)
+    begin: np.ndarray = np.zeros(0, np.int64)
+    size: np.ndarray = np.zeros(0, np.int64)
+    flat: np.ndarray = np.zeros(0, np.uint32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``keys`` are here, and where those are."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        here = self.keys[at] == keys
+        return here, at[here]
+
+    def chosen(self, at: np.ndarray, keys: np.ndarray) -> Ids:
+        size = self.size[at]
+        return Ids(keys, np.cumsum(size) - size, size, _runs(self.flat, self.begin[at], size))
+
+    def joined(self, other: Ids) -> Ids:
+        keys = np.r_[self.keys, other.keys]
+        order = np.argsort(keys, kind="stable")
+        begin = np.r_[self.begin, other.begin + len(self.flat)]
+        size = np.r_[self.size, other.size]
+        return Ids(keys[order], begin[order], size[order], np.r_[self.flat, other.flat])
+
+
 class Encoder:
     """Token ids of texts, by a tokenizer that drops white space and folds case.
 
-    The distinct words of a slice are looked up by a hash that ignores the case
-    of A-Z; a word not seen yet is its stem and the mark at its end.
+    A word is its stem and the marks at its end. The distinct stems and marks of
+    a slice are looked up by a hash that ignores the case of A-Z, and those not
+    known yet are encoded. What is known goes by age: when the newer half is
+    full it becomes the older one, and the older one is forgotten.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._words: dict[int, bytes] = {}
-        self._stems: dict[bytes, bytes] = {}
+        self._half = remembered // 2
+        self._newer = self._older = Ids()
 
-    def _encode(self, texts: list[bytes]) -> Iterator[bytes]:
+    def _encode(self, texts: list[bytes]) -> list[list[int]]:
         strings = [t.decode() for t in texts]
-        for encoded in self._tokenizer.encode_batch_fast(strings, add_special_tokens=False):
-            yield array("I", encoded.ids).tobytes()
-
-    def _learn(self, hashes: list[int], words: list[bytes]) -> dict[int, bytes]:
-        parts = [_stem(w) for w in words]
-        wanted = {p for pair in parts for p in pair}
-        if len(self._stems) + len(wanted) > CACHED_STEMS:
-            self._stems.clear()
-        unknown = [w for w in wanted if w not in self._stems]
-        ids = dict(zip(unknown, self._encode(unknown), strict=True))
-        self._stems.update((w, i) for w, i in ids.items() if len(w) <= CACHED_BYTES)
-        known = lambda w: self._stems.get(w) or ids.get(w, b"")
-        return {h: known(a) + known(b) if b else known(a) for h, (a, b) in zip(hashes, parts, strict=True)}
+        return [e.ids for e in self._tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _learn(self, keys: np.ndarray, parts: list[bytes]) -> Ids:
+        found = self._encode(parts)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+        return Ids(keys, np.cumsum(size) - size, size, flat)
+
+    def _look_up(self, keys: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> Ids:
+        """Ids of the parts with these sorted, distinct hashes."""
+        here, at = self._newer.find(keys)
+        found = self._newer.chosen(at, keys[here])
+        rest = np.flatnonzero(~here)
+        here, at = self._older.find(keys[rest])
+        older = self._older.chosen(at, keys[rest[here]])
+        new = rest[~here]
+        parts = [raw[a:b].lower() for a, b in zip(start[new].tolist(), end[new].tolist())]
+        learned = self._learn(keys[new], parts)
+        short = np.flatnonzero(end[new] - start[new] <= REMEMBERED_BYTES)
+        self._newer = self._newer.joined(older).joined(learned.chosen(short, learned.keys[short]))
+        if len(self._newer.keys) > self._half:
+            self._newer, self._older = Ids(), self._newer
+        return found.joined(older).joined(learned)
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> Iterator[bytes]:
         """Ids of every text of a slice, as unsigned 32-bit numbers."""
-        start, end, before = find_words(data, at, SPACE)
+        start, end = _parts(data, at)
         distinct, first, place = np.unique(
             word_hashes(data, start, end), return_index=True, return_inverse=True
         )
-        raw, keys = data.tobytes(), distinct.tolist()
-        if len(self._words) + len(keys) > CACHED_WORDS:
-            self._words.clear()
-        new = [(k, raw[start[i] : end[i]]) for k, i in zip(keys, first.tolist()) if k not in self._words]
-        learned = self._learn(*map(list, zip(*new))) if new else {}
-        self._words.update((k, learned[k]) for k, w in new if len(w) <= CACHED_BYTES)
-        found = [learned[k] if k in learned else self._words[k] for k in keys]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), "<u4")
-        # Each word's ids, one after the other.
-        size, begin = sizes[place], (np.cumsum(sizes) - sizes)[place]
-        past = np.r_[0, np.cumsum(size)]
-        ids = flat[np.repeat(begin - past[:-1], size) + np.arange(past[-1])]
+        raw = data.tobytes()
+        known = self._look_up(distinct, raw, start[first], end[first])
+        size = known.size[place]
+        ids = _runs(known.flat, known.begin[place], size)
+        past = np.r_[0, np.cumsum(size)][np.searchsorted(start, at)].tolist()
         special = b"<|" in raw
-        for a, b, i, j in zip(at[:-1].tolist(), at[1:].tolist(), past[before[:-1]].tolist(), past[before[1:]].tolist()):
+        for a, b, i, j in zip(at[:-1].tolist(), at[1:].tolist(), past, past[1:]):
             # The tokenizer takes its special strings as they are written.
             if special and b"<|" in raw[a:b]:
-                yield next(self._encode([raw[a:b]]))
+                yield np.array(self._encode([raw[a:b]])[0], "<u4").tobytes()
             else:
                 yield ids[i:j].tobytes()
 
 
-def _stem(word: bytes) -> tuple[bytes, bytes]:
-    """A word in lower case without the marks at its end, and these marks.
+def _parts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts of all words begin and end: a word without the marks at its end, and these marks.
 
-    ASCII marks up to the end are one token run if a letter stands before them.
+    ASCII marks up to the end are one token run if a letter stands before them;
+    any other word is one part.
     """
-    lower = word.lower()
-    stem = lower.rstrip(END_MARKS)
-    if len(stem) < len(lower) and stem:
-        latin = len(stem) > 1 and stem[-2] == 0xC3 and stem[-1] >= 0x9F and stem[-1] != 0xB7
-        if 0x61 <= stem[-1] <= 0x7A or latin:
-            return stem, lower[len(stem) :]
-    return lower, b""
+    start, end, _ = find_words(data, at, SPACE)
+    if not len(start):
+        return start, end
+    inner = np.where(END_MARKS[data], 0, np.arange(1, len(data) + 1))
+    stem = np.maximum(np.maximum.accumulate(inner)[end - 1], start)
+    last, before = data[stem - 1], data[stem - 2]
+    latin = (stem - start > 1) & (before == 0xC3) & (last >= 0x9F) & (last != 0xB7)
+    stem = np.where((stem > start) & (LETTERS[last] | latin), stem, end)
+    start, end = np.column_stack([start, stem]).ravel(), np.column_stack([stem, end]).ravel()
+    return start[end > start], end[end > start]
 
 
 _encoders: dict[str, Encoder] = {}
