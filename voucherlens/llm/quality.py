@@ -23,13 +23,12 @@ read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voucherlens.llm.text import SPACE, slices, table, word_hashes, words
 from voucherlens.session import written
@@ -239,19 +238,17 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, score double")
 
 
-def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
-    """The score as a function of a text column, for filters that keep all columns."""
-    shared = spark.sparkContext.broadcast(model)
+def accepted(documents: DataFrame, model: Model, *, least: float = 0.5) -> DataFrame:
+    """The rows whose text scores ``least`` or more, with all their columns."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(text: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], ["text"])
-        model, found = shared.value, []
-        for _, data, at in slices(iter([batch])):
-            found += map(model.margin, features(data, at))
-        return pd.Series(model.score(np.array(found, float)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for rows, data, at in slices(batches):
+            margins = np.fromiter((model.margin(own) for own in features(data, at)), float, rows.num_rows)
+            yield rows.filter(pa.array(model.score(margins) >= least))
 
-    return run
+    return documents.mapInArrow(run, documents.schema)
 
 
 def held_out(doc_id: Column) -> Column:
