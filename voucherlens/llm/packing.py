@@ -23,6 +23,7 @@ result. Other columns are not read.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -38,8 +39,9 @@ from voucherlens.session import written
 CAPACITY = 4096
 END_ID = 2
 #: Parts of words whose ids a Python worker remembers, and the longest in bytes.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 REMEMBERED_BYTES = 48
+SLICE_BYTES = 1 << 19
 # Fixed byte classes: ASCII letters, and ASCII characters that are neither letter,
 # digit, control character nor white space.
 LETTERS = np.zeros(256, bool)
@@ -103,6 +105,8 @@ class Encoder:
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
+        # Spark's tasks fill the cores already; threads of a task would only add memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._tokenizer = Tokenizer.from_file(path)
         self._half = remembered // 2
         self._newer = self._older = Ids()
@@ -187,7 +191,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer)
-        for rows, data, at in slices(batches, limit=1 << 20):
+        for rows, data, at in slices(batches, limit=SLICE_BYTES):
             out = []
             for doc, ids in zip(rows.column("doc_id").to_pylist(), tokens.encode(data, at), strict=True):
                 ids += end
