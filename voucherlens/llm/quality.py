@@ -38,6 +38,8 @@ NGRAMS = (3, 4)
 SAMPLE = 4000
 #: Texts that the common frequency counts for in each class.
 SMOOTHING = 100.0
+#: Text whose n-grams are hashed at once.
+SLICE_BYTES = 1 << 20
 COST = 1.0
 EPOCHS = 8
 #: Every such text of the sample is held back to fit the curve of the scores.
@@ -118,7 +120,7 @@ def _trained(documents: DataFrame, train: DataFrame, sample: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << BITS), np.int64)
-        for rows, data, at in slices(batches):
+        for rows, data, at in slices(batches, limit=SLICE_BYTES):
             columns = (rows.column(c).to_pylist() for c in ("doc_id", "label", "in_sample"))
             kept = []
             for own, doc, label, chosen in zip(features(data, at), *columns):
@@ -230,7 +232,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for rows, data, at in slices(batches):
+        for rows, data, at in slices(batches, limit=SLICE_BYTES):
             margins = np.fromiter((model.margin(own) for own in features(data, at)), float, rows.num_rows)
             yield table(_SCORES, doc_id=rows.column("doc_id"), score=model.score(margins))
 
@@ -244,7 +246,7 @@ def accepted(documents: DataFrame, model: Model, *, least: float = 0.5) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for rows, data, at in slices(batches):
+        for rows, data, at in slices(batches, limit=SLICE_BYTES):
             margins = np.fromiter((model.margin(own) for own in features(data, at)), float, rows.num_rows)
             yield rows.filter(pa.array(model.score(margins) >= least))
 
