@@ -157,3 +157,39 @@ def test_kfold_report(planted):
     found = {r.metric: r.value for r in report.collect()}
     assert set(found) == {"train_accuracy", "train_auc", "fold_auc", "fold_auc_std"}
     assert all(0.5 < v <= 1 for k, v in found.items() if k != "fold_auc_std")
+
+
+def most_rows(df):
+    return max(df.rdd.glom().map(len).collect())
+
+
+def test_a_task_of_a_fit_takes_a_bounded_part(spark, planted, monkeypatch):
+    """However few files hold a table, no task takes more rows of it than ``TASK_ROWS``."""
+    train, valid = planted
+    packed = train.coalesce(1)
+    monkeypatch.setattr(session, "TASK_ROWS", 40)
+    assert most_rows(session.dealt(packed, 600)) <= 45
+    seen, fit_all, pool = [], models._fit_all, []
+    monkeypatch.setattr(models, "_fit_all", lambda e, t, g, rows: seen.append(most_rows(t)) or fit_all(e, t, g, rows))
+    threads = models.ThreadPool
+    monkeypatch.setattr(models, "ThreadPool", lambda n: pool.append(n) or threads(n))
+    models.logistic_grid(packed, valid.coalesce(1), alphas=[0.001, 0.1], l1_ratios=[0.01], max_iter=2)
+    # One copy of a table that fills all cores is held at a time.
+    assert seen[0] <= 45 and pool == [1]
+    grow_one = boosting._grow_one
+    monkeypatch.setattr(boosting, "_grow_one", lambda rows, *more: seen.append(most_rows(rows)) or grow_one(rows, *more))
+    models.fit_watched_trees(packed, valid.coalesce(1), rounds=1, patience=1, settings=SMALL)
+    assert seen[1] <= 45
+
+
+def test_a_small_table_stays_as_it_lies(spark, planted):
+    train, _ = planted
+    assert session.dealt(train, 600) is train and session.tasks_for(spark, 10 * session.TASK_ROWS) > 1
+
+
+def test_margins_are_stored_only_for_a_block_that_follows(planted, monkeypatch):
+    train, valid = planted
+    names, store = [], boosting.written
+    monkeypatch.setattr(boosting, "written", lambda df, name: names.append(name) or store(df, name))
+    models.fit_watched_trees(train, valid, rounds=2, patience=2, settings=SMALL)
+    assert names == ["margins", "staged-margins"]
