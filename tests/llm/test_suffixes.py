@@ -118,3 +118,33 @@ def test_many_different_runs_of_one_anchor_are_told_apart():
     assert counts.max() > 20_000
     most = run[anchor == values[counts.argmax()]]
     assert len(np.unique(most)) == len(most)
+
+
+def sent_windows(texts):
+    """Bytes of windows that two tasks would send in round 2, and the statuses of their runs."""
+    tasks = [pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "text": [x]}) for i, x in enumerate(texts)]
+    sent = [b for t in tasks for b in suffixes._find_runs(1)(iter([t]))]
+    runs = [r for b in suffixes._rank_runs(iter(sent)) for r in b.to_pylist()]
+    return [(r["doc_id"], r["status"]) for r in runs]
+
+
+def test_runs_that_share_no_more_than_their_anchor_send_no_windows():
+    """Short phrases repeat without any passage of 50 bytes; only runs with 17 equal bytes at a side go on."""
+    rng = np.random.default_rng(11)
+    phrase = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    common = [phrase(24) for _ in range(40)]
+    texts = ["".join(phrase(60) + c for c in common) for _ in range(4)]
+    assert sent_windows(texts) == []
+    # A passage of exactly 50 bytes is still found, wherever its anchor lies in it.
+    passages = [phrase(50) for _ in range(60)]
+    texts = ["".join(phrase(40) + p for p in passages) for _ in range(3)]
+    assert len({d for d, s in sent_windows(texts) if s in (suffixes.PART, suffixes.SCATTERED)}) == 3
+
+
+@pytest.mark.parametrize("length", [49, 50, 51, 67, 84, 120])
+def test_passages_of_any_length_between_other_text(table, length):
+    rng = np.random.default_rng(length)
+    phrase = lambda n: bytes(rng.integers(97, 101, n, np.uint8)).decode()
+    passages = [phrase(length) for _ in range(30)]
+    rows = [(d, "".join(phrase(int(rng.integers(0, 60))) + p for p in passages)) for d in range(4)]
+    assert found(table(rows)) == brute(rows)

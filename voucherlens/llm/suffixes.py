@@ -14,8 +14,10 @@ Consecutive windows with one anchor form a run, about one for 17 bytes.
 
 1. Runs are dealt and sorted by anchor (length 16), then by the rank of the whole
    run (up to 84 bytes). An anchor of one run alone is unique and dropped. A run
-   that a smaller id has in full is removed in full. Where runs of an anchor
-   differ, the smallest holder of each is ranked on:
+   that a smaller id has in full is removed in full. A window reaches ``SIDE`` bytes
+   or more past its anchor on one side, so a run of which no other run of its anchor
+   has the bytes on either side (16 bits of their rank) shares no window. Where runs
+   of an anchor differ and share a side, the smallest holder of each is ranked on:
 2. the single windows of these runs (length 50) are dealt and sorted; a window
    that a smaller id has is removed.
 3. Documents meet the results of both rounds and are cut.
@@ -46,6 +48,8 @@ from voucherlens.session import written
 LENGTH = 50
 SEED = 16
 SPAN = LENGTH - SEED + 1
+#: Bytes that every window has before its anchor, or after it.
+SIDE = (LENGTH - SEED) // 2
 
 #: Runs and windows that a task packs before it sends them on.
 PACK = 1 << 20
@@ -64,6 +68,7 @@ _CUT = pa.schema([
     ("span_start", pa.list_(pa.int64())), ("span_end", pa.list_(pa.int64())),
 ])
 _ENTRY = np.dtype([("run", "<u8"), ("doc", "<i8")])
+_RUN_ENTRY = np.dtype([("run", "<u8"), ("doc", "<i8"), ("left", "<u2"), ("right", "<u2")])
 _RUN = np.dtype([("anchor", "<u4"), ("windows", "<u2"), ("doc", "<i8")])
 
 #: The part of a run's name that is its anchor's.
@@ -118,6 +123,11 @@ class Runs:
         # A run's name: 40 bits of its own rank, and 24 of its anchor's.
         self.unit, self.anchor = unit, self.seed >> U64(16) & U64(0xFFFFFFFF)
         self.run = (unit & ~ANCHOR) | (self.anchor & ANCHOR)
+        # The bytes at each side of the anchor, with most of it; 0 where no window has so many there.
+        self.left, self.right = np.zeros((2, len(anchor)), np.uint16)
+        left, right = anchor - self.first >= SIDE, self.last + LENGTH - anchor - SEED >= SIDE
+        self.left[left] = _side(ranks[32][anchor[left] - SIDE])
+        self.right[right] = _side(ranks[32][anchor[right] + SEED + SIDE - 32])
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start of every window of the chosen runs, its run, and its name."""
@@ -132,6 +142,17 @@ def window_names(anchor: np.ndarray, window: np.ndarray) -> np.ndarray:
     return mix(anchor * U64(_STEP) + (window & U64(0xFFFFFFFFFFFF)))
 
 
+def _side(rank: np.ndarray) -> np.ndarray:
+    """16 bits of a rank, never 0."""
+    return (mix(rank) % U64(0xFFFF) + U64(1)).astype(np.uint16)
+
+
+def _shared(group: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Whether another row of the group has the same side; 0 is none."""
+    _, at, count = np.unique(group.astype(U64) << U64(16) | side.astype(U64), return_inverse=True, return_counts=True)
+    return (side > 0) & (count[at] > 1)
+
+
 def _smallest(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For rows sorted by group and document, the first document of each row's group."""
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -157,15 +178,18 @@ def _by_bucket(bucket: np.ndarray, entries: np.ndarray, buckets: int) -> pa.Reco
 
 
 def _pack_runs(
-    seed: np.ndarray, unit: np.ndarray, run: np.ndarray, doc: np.ndarray, buckets: int
+    seed: np.ndarray, unit: np.ndarray, run: np.ndarray, doc: np.ndarray, buckets: int,
+    left: np.ndarray | int = 1, right: np.ndarray | int = 1,
 ) -> Iterator[pa.RecordBatch]:
     """Runs by the bucket of their anchor; what equal runs and hot anchors of a task show.
 
-    Within a task runs are told apart by all 64 bits of their rank.
+    Within a task runs are told apart by all 64 bits of their rank. Without their
+    sides all different runs of an anchor are ranked on.
     """
     anchor = seed & U64(0xFFFFFFFFFFFF)
     order = np.lexsort((doc, unit, anchor))
     anchor, unit, run, doc = anchor[order], unit[order], run[order], doc[order]
+    left, right = (np.broadcast_to(side, len(order))[order] for side in (left, right))
     new_anchor = np.r_[True, anchor[1:] != anchor[:-1]]
     new_run = new_anchor | np.r_[True, unit[1:] != unit[:-1]]
     later = doc > _smallest(np.cumsum(new_run), doc)
@@ -176,24 +200,29 @@ def _pack_runs(
     yield _answer(doc[hot], run[hot], np.full(hot.sum(), SCATTERED), buckets)
     note = hot & new_anchor
     sent = ~hot | note
-    entries = np.zeros(sent.sum(), _ENTRY)
+    entries = np.zeros(sent.sum(), _RUN_ENTRY)
     entries["run"] = np.where(note, run & ANCHOR, run)[sent]
     entries["doc"] = np.where(note, NOTE, doc)[sent]
+    entries["left"], entries["right"] = left[new_run][sent], right[new_run][sent]
     yield _by_bucket((anchor[sent] & U64(0xFFFF)) * U64(buckets) >> U64(16), entries, buckets)
 
 
 def _find_runs(buckets: int):
+    def packed(held: list) -> Iterator[pa.RecordBatch]:
+        seed, unit, run, doc, left, right = map(np.concatenate, zip(*held))
+        return _pack_runs(seed, unit, run, doc, buckets, left, right)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for rows, data, at in slices(batches):
             runs = Runs(data, at)
-            held.append((runs.seed, runs.unit, runs.run, rows.column("doc_id").to_numpy()[runs.doc]))
+            held.append((runs.seed, runs.unit, runs.run, rows.column("doc_id").to_numpy()[runs.doc], runs.left, runs.right))
             size += len(runs.seed)
             if size >= PACK:
-                yield from _pack_runs(*map(np.concatenate, zip(*held)), buckets)
+                yield from packed(held)
                 held, size = [], 0
         if size:
-            yield from _pack_runs(*map(np.concatenate, zip(*held)), buckets)
+            yield from packed(held)
 
     return run
 
@@ -211,17 +240,17 @@ def _rank_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = rows.filter(rows.column("run").is_valid())
         if plain.num_rows:
             yield table(_RUNS, **{n: plain.column(n) for n in _RUNS.names})
-        parts += [(bucket, np.frombuffer(packed, _ENTRY)) for bucket, packed in _packed(rows)]
+        parts += [(bucket, np.frombuffer(packed, _RUN_ENTRY)) for bucket, packed in _packed(rows)]
     if not parts:
         return
     entries = np.concatenate([e for _, e in parts])
     bucket = np.repeat(np.array([b for b, _ in parts], U64), [len(e) for _, e in parts])
     anchor, run, doc = bucket << U64(32) | entries["run"] & ANCHOR, entries["run"], entries["doc"]
     order = np.lexsort((doc, run, anchor))
-    anchor, run, doc = anchor[order], run[order], doc[order]
+    anchor, run, doc, left, right = anchor[order], run[order], doc[order], entries["left"][order], entries["right"][order]
     note = doc == NOTE
     hot = np.isin(anchor, anchor[note])
-    anchor, run, doc, hot = anchor[~note], run[~note], doc[~note], hot[~note]
+    anchor, run, doc, hot, left, right = (x[~note] for x in (anchor, run, doc, hot, left, right))
     if not len(run):
         return
     new_anchor = np.r_[True, anchor[1:] != anchor[:-1]]
@@ -229,7 +258,9 @@ def _rank_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     later = doc > _smallest(np.cumsum(new_run), doc)
     group = np.cumsum(new_anchor) - 1
     different = np.bincount(group, new_run)[group]
-    status = np.where(hot | (different > HOT), SCATTERED, np.where(different > 1, PART, 0))
+    ranked = np.zeros(len(run), bool)
+    ranked[new_run] = _shared(group[new_run], left[new_run]) | _shared(group[new_run], right[new_run])
+    status = np.where(hot, SCATTERED, np.where(ranked, np.where(different > HOT, SCATTERED, PART), 0))
     status = np.where(later, FULL, np.where(new_run, status, 0))
     found = status > 0
     yield table(_RUNS, doc_id=doc[found], run=signed(run[found]), status=status[found].astype(np.int8))
