@@ -200,6 +200,37 @@ def test_large_groups_are_compared_in_full(table):
     assert sorted((tuple(r) for r in kept.collect()), key=repr) == brute_lines(rows)
 
 
+def test_counts_keep_every_similar_pair_and_few_chance_ones():
+    """Character counts lose no similar pair, and lines that share a run by chance are not compared."""
+    rng = random.Random(8)
+    letters = "etaoinshrdluéß 日本"
+    left, right = [], []
+    for i in range(1500):
+        line = "".join(rng.choice(letters) for _ in range(rng.randint(20, 400)))
+        other = list(line)
+        for _ in range(rng.randint(0, len(line) // 10)):
+            at = rng.randrange(len(other))
+            other[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "é", "yz"])
+        left.append(lines.normal(line.encode()))
+        right.append(lines.normal("".join(other).encode()))
+    # Lines of other words around one run that both hold.
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    say = lambda: " ".join(rng.choice(words) for _ in range(6))
+    chance = [(f"{say()} a run that is shared {say()}".encode(), f"{say()} a run that is shared {say()}".encode()) for _ in range(500)]
+
+    def near(x, y):
+        both = x + y
+        node, none = lines.nodes(both), np.zeros(len(both), np.int64)
+        columns = np.hstack([lines.fine_simhashes(both), lines.character_counts(both)]).T
+        columns[: len(lines.FINE)] = 0  # by counts alone
+        i, _, _ = lines.Sketches(node, none, columns).near(np.arange(len(x)), np.arange(len(x), len(both)))
+        return set(i.tolist())
+
+    similar = {i for i, (x, y) in enumerate(zip(left, right)) if lines.similar(x.decode(), y.decode())}
+    assert len(similar) > 800 and similar <= near(left, right)
+    assert len(near(*map(list, zip(*chance)))) < 50
+
+
 def test_lines_do_not_depend_on_partitions(spark, table, corpus):
     rows = corpus + [(1000 + d, t) for d, t in families()]
     old = spark.conf.get("spark.sql.shuffle.partitions")
