@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests_words import words_of
@@ -231,6 +232,33 @@ def test_counts_keep_every_similar_pair_and_few_chance_ones():
     assert len(near(*map(list, zip(*chance)))) < 50
 
 
+def test_a_turn_gives_each_line_one_partner_a_block():
+    """A block of many lines that are near and not connected gives no square of pairs, but the last turn all."""
+    rng = random.Random(9)
+    base = [rng.choice("etaoinshrdlu ") for _ in range(300)]
+    texts = set()
+    while len(texts) < 200:
+        line = list(base)
+        for _ in range(3):
+            line[rng.randrange(300)] = rng.choice("etaoinshrdlu")
+        texts.add("".join(line).encode())
+    found = {n: t for t, n in zip(sorted(texts), lines.nodes(sorted(texts)).tolist())}
+    node, said = np.array(list(found), np.int64), list(found.values())
+    sketches = np.hstack([lines.fine_simhashes(said), lines.character_counts(said)]).T
+    columns = dict(zip(lines.FINE + lines.COUNTS, sketches))
+    for blocks in (1, 3):  # every line is a group of its own
+        batches = [
+            pa.RecordBatch.from_pydict({"block": np.full(len(node), k), "node": node, "group": node, "many": np.zeros(len(node), np.int64), **columns})
+            for k in range(blocks)
+        ]
+        turn, left = (
+            [p for b in lines._meet_again(t)(iter(batches)) for p in zip(*b.to_pydict().values())] for t in (0, None)
+        )
+        assert len(set(left)) > 10 * len(node) and set(turn) <= set(left)
+        assert len(turn) <= blocks * len(node) and {n for p in turn for n in p} == {n for p in left for n in p}
+        assert blocks == 1 or len(set(turn)) > 1.5 * len(node)  # others in each block
+
+
 def test_lines_do_not_depend_on_partitions(spark, table, corpus):
     rows = corpus + [(1000 + d, t) for d, t in families()]
     old = spark.conf.get("spark.sql.shuffle.partitions")
