@@ -259,6 +259,46 @@ def test_a_turn_gives_each_line_one_partner_a_block():
         assert blocks == 1 or len(set(turn)) > 1.5 * len(node)  # others in each block
 
 
+def test_pairs_left_are_checked_in_one_block_and_only_links_leave(monkeypatch):
+    """Lines around one long passage meet in many blocks without being similar; each pair is compared once."""
+    rng = random.Random(10)
+    say = lambda n: "".join(rng.choice("etaoinshrdlu ") for _ in range(n))
+    passage, buckets = say(260), 16
+    texts = {lines.normal(f"{say(rng.randint(10, 45))}{passage}{say(20)}".encode()) for _ in range(150)}
+    texts |= {x[:40] + b"zz" + x[42:] for x in sorted(texts)[:30]}
+    said = sorted(texts)
+    node, keys = lines.nodes(said), lines.block_keys(said)
+    # Two lines of one node, without sketches of its own.
+    node[1] = node[0]
+    many = np.isin(node, node[:1]).astype(np.int64)
+    sketches = np.hstack([lines.fine_simhashes(said), lines.character_counts(said)]).T
+    in_block = {}
+    for line, own in enumerate(keys):
+        bucket, within = lines._block_of(lines._unpacked(lines._packed(own)), buckets)
+        for block in set((bucket << 32 | within).tolist()):
+            for other in np.flatnonzero(node == node[line]).tolist():  # a block holds all lines of a node
+                in_block.setdefault(block, set()).add(other)
+    batches, pairs = [], []
+    for block in sorted(in_block):
+        at = np.array(sorted(in_block[block]))
+        columns = dict(zip(lines.FINE + lines.COUNTS, sketches[:, at]))
+        batches.append(pa.RecordBatch.from_pydict({
+            "block": np.full(len(at), block), "node": node[at], "group": at, "key": at, "many": many[at], **columns,
+            "normal": pa.array([said[i] for i in at], pa.binary()),
+        }))
+        order = at[np.argsort(node[at], kind="stable")]
+        x, y = np.triu_indices(len(at), 1)
+        near, _ = lines._allowed(node[order][x], node[order][y])
+        i, j, _ = lines.Sketches(node[order], many[order], sketches[:, order]).near(x[near], y[near])
+        pairs += [tuple(sorted(p)) for p in zip(order[i].tolist(), order[j].tolist()) if node[p[0]] != node[p[1]]]
+    compared, plain = [], lines.similar_pairs
+    monkeypatch.setattr(lines, "similar_pairs", lambda a, b: (compared.append(len(a)), plain(a, b))[1])
+    found = [tuple(sorted(p)) for b in lines._check_left(buckets)(iter(batches)) for p in zip(*b.to_pydict().values())]
+    assert len(pairs) > 5 * len(set(pairs)) and sum(compared) == len(set(pairs))
+    similar = {p for p in set(pairs) if lines.similar(said[p[0]].decode(), said[p[1]].decode())}
+    assert sorted(found) == sorted(similar) and 10 < len(found) < len(set(pairs)) // 2
+
+
 def test_lines_do_not_depend_on_partitions(spark, table, corpus):
     rows = corpus + [(1000 + d, t) for d, t in families()]
     old = spark.conf.get("spark.sql.shuffle.partitions")
