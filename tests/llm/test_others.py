@@ -195,6 +195,42 @@ def families(seed=11):
     return list(enumerate(rows))
 
 
+def test_pairs_of_any_length_in_words_of_bits():
+    """Bands of one word and of several, texts of very different lengths at once, and edits around the limit."""
+    rng, left, right = random.Random(12), [], []
+    for _ in range(900):
+        size = int(10 ** rng.uniform(0, 3.2))
+        a = "".join(rng.choice("abc é") for _ in range(size))
+        b = list(a)
+        for _ in range(int(size * rng.choice([0, 0.05, 0.09, 0.1, 0.11, 0.15]))):
+            at = rng.randrange(size)
+            b[at : at + 1] = rng.choice(["", b[at] + "x", "y", "b"]) if at < len(b) else ""
+        cut = rng.randint(0, size // 10)
+        left.append(a)
+        right.append("".join(b[rng.choice([0, cut]) :]))
+    left, right = map(list, zip(*[p if rng.random() < 0.5 else p[::-1] for p in zip(left, right)]))
+    found = lines.similar_pairs(left, right)
+    assert found.tolist() == [lines.similar(a, b) for a, b in zip(left, right)]
+    assert 200 < found.sum() < 700
+
+
+def test_pairs_are_checked_in_as_many_tasks_as_set(spark):
+    """A pair is few bytes and much work, so tasks are not put together by their bytes."""
+    said = [lines.normal(f"{'one two three four five six ' * 3}{w}".encode()) for w in ("seven", "eight", "ninety", "fifty")]
+    keys = [lines.line_key(x) for x in said]
+    texts = spark.createDataFrame([(k, x, n) for n, (k, x) in enumerate(zip(keys, said))], "key long, normal binary, node long")
+    pairs = spark.createDataFrame([(a, b) for a in range(4) for b in range(a)], "a long, b long")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        links = lines._links(pairs, texts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    expected = {frozenset((keys[a], keys[b])) for a in range(4) for b in range(a) if lines.similar(said[a].decode(), said[b].decode())}
+    assert {frozenset(r) for r in links.collect()} == expected
+    assert len(links.inputFiles()) > 1
+
+
 def test_large_groups_are_compared_in_full(table):
     rows = families()
     kept = lines.dedup_lines(table(rows))[0].select("row.doc_id", "text")
