@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from voucherlens import session
 from voucherlens.operators.ranking import pooled_auc
 from voucherlens.plans import boosting, models
@@ -159,6 +160,13 @@ def test_kfold_report(planted):
     assert all(0.5 < v <= 1 for k, v in found.items() if k != "fold_auc_std")
 
 
+def test_kfold_report_builds_only_the_table_it_folds(spark, planted, monkeypatch):
+    built = []
+    monkeypatch.setattr(queries, "_dataset", lambda spark, sf, number: built.append(number) or planted[0])
+    monkeypatch.setattr(models, "kfold_report", lambda train, rounds: (None, train))
+    assert queries.kfold_report(spark, "").count() == 600 and built == [1]
+
+
 def most_rows(df):
     return max(df.rdd.glom().map(len).collect())
 
